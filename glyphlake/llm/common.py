@@ -72,7 +72,8 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of ASCII-lower-cased texts, flat, and for each text its first word's place (one more entry than texts). Null: no words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # lowered before any cast: pyarrow lowers a slice that was cast wrongly
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, first = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
     first = first - first[0]
     keep = np.asarray(pc.binary_length(flat)) > 0

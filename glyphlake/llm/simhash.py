@@ -42,8 +42,7 @@ def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1) -> np.ndarray:
     if not len(flat):
         return out
     # words joined by one space in one buffer; a shingle is a slice of it
-    spaced = pc.binary_join_element_wise(flat, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
-    joined = spaced.buffers()[2].to_pybytes()
+    joined = pc.binary_join_element_wise(flat.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())).buffers()[2].to_pybytes()
     length = np.asarray(pc.binary_length(flat)).astype(np.int64)
     start = np.cumsum(length + 1) - length - 1
     n = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
