@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, quality, sharding, simhash, warc
+from . import decontaminate, extract, lm, mixing, neighbours, quality, sharding, simhash, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         simhash.op1_simhash_near_dedup,
         sharding.op2_rendezvous_sharding,
+        extract.op4_crf_html_extraction,
         decontaminate.op5_benchmark_decontamination,
+        lm.op6_elias_fano_lm,
+        neighbours.op7_vantage_point_neighbours,
         quality.op8_quality_rff_ridge,
         warc.op9_content_addressed_warc,
         mixing.op10_pareto_mix,
@@ -20,5 +23,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_benchmark_decontamination": decontaminate.ORACLE_OP5,
+    "op7_vantage_point_neighbours": neighbours.ORACLE_OP7,
     "op9_content_addressed_warc": warc.ORACLE_OP9,
 }
