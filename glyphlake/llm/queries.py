@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, extract, lm, mixing, neighbours, quality, sharding, simhash, warc
+from . import decontaminate, extract, lm, mixing, neighbours, passages, quality, sharding, simhash, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         simhash.op1_simhash_near_dedup,
         sharding.op2_rendezvous_sharding,
+        passages.op3_collinear_substring_dedup,
         extract.op4_crf_html_extraction,
         decontaminate.op5_benchmark_decontamination,
         lm.op6_elias_fano_lm,
