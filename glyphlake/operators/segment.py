@@ -1,0 +1,62 @@
+"""Lines of a grey page, over struct<h, w, pix>: profiles, recursive cuts and boxes in an Arrow-batched function."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Ink is darker than INK; a profile counts from LEAST up.
+INK, LEAST = 200, 2
+
+
+def runs(profile: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """[start, end) of runs of values >= LEAST that are at most `gap` apart."""
+    at = np.flatnonzero(profile >= LEAST)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > gap)
+    return [(int(a), int(b) + 1) for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]], strict=True)]
+
+
+def _profile(ink: np.ndarray, axis: int) -> np.ndarray:
+    return ink.mean(axis=axis) * 255
+
+
+def boxes(page: np.ndarray, gap_y: int | None = None, gap_x: int | None = None, depth: int = 8) -> list[tuple[int, int, int, int]]:
+    """(left, top, right, bottom) of the lines of a page, by rows and columns of ink in turn."""
+    ink = page < INK
+    gap_y = max(3, round(0.004 * len(page))) if gap_y is None else gap_y
+    heights = sorted(b - a for a, b in runs(_profile(ink, 1), gap_y)) or [len(page)]
+    gap_x = max(8, round(heights[len(heights) // 2] * 1.2)) if gap_x is None else gap_x
+
+    def split(l, t, r, b, left):  # noqa: E741
+        part = ink[t:b, l:r]
+        ys, xs = runs(_profile(part, 1), 10**6), runs(_profile(part, 0), 10**6)
+        if not ys or not xs:
+            return []
+        l, r, t, b = l + xs[0][0], l + xs[0][1], t + ys[0][0], t + ys[0][1]  # noqa: E741
+        if left:
+            rows = runs(_profile(ink[t:b, l:r], 1), gap_y)
+            if len(rows) > 1:
+                return [x for s, e in rows for x in split(l, t + s, r, t + e, left - 1)]
+            columns = runs(_profile(ink[t:b, l:r], 0), gap_x)
+            if len(columns) > 1:
+                return [x for s, e in columns for x in split(l + s, t, l + e, b, left - 1)]
+        return [(l, t, r, b)]
+
+    return split(0, 0, page.shape[1], len(page), depth)
+
+
+def lines(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """pages(page, h, w, pix) -> page, pos, left, top, right, bottom; `most` keeps the first in cut order."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(x.page, k, *box) for x in p.itertuples() for k, box in enumerate(boxes(np.frombuffer(x.pix, np.uint8).reshape(x.h, x.w))[:most])]
+            yield pd.DataFrame(rows, columns=["page", "pos", "left", "top", "right", "bottom"])
+
+    kind = pages.schema["page"].dataType.simpleString()
+    return pages.select("page", "h", "w", "pix").mapInPandas(each, f"page {kind}, pos int, left int, top int, right int, bottom int")
