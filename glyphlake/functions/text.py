@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Fixed values of Unicode's Hangul composition.
 S_BASE, L_BASE, V_BASE, T_BASE = 0xAC00, 0x1100, 0x1161, 0x11A7
@@ -41,13 +42,13 @@ def nfd_hangul(text: Column) -> Column:
     return F.array_join(F.transform(chars(text), one), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfd_any(text: pd.Series) -> pd.Series:
     """NFD of any script (Spark has no normalising function)."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_strip(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).strip())
 
@@ -80,7 +81,7 @@ def span(text: Column) -> Column:
     return F.when(n <= 5, "1-5").when(n <= 10, "6-10").when(n <= 20, "11-20").otherwise("21+")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(read: pd.Series, truth: pd.Series) -> pd.Series:
     """2M/T of difflib's matcher; not symmetric, popular characters of a truth of 200 or more are junk."""
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(read, truth, strict=True)], dtype=float)
