@@ -112,11 +112,15 @@ class EliasFano:
 
 
 def quantised(values: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """Codes 1.. and a table of at most `levels` + 1 values (0 for code 0): equally filled bins, each by its mean log."""
+    """Codes 1.. and a table of at most `levels` + 1 values (0 for code 0): each value itself if there are few, else bins of
+    equal width in the logarithm, each by its mean log, so the error is at most half a bin's width."""
     book = np.zeros(levels + 1, np.float32)
     if not len(values):
         return np.zeros(0, np.uint8), book
-    edges = np.unique(np.quantile(values, np.arange(levels) / levels, method="lower"))
+    edges = np.unique(values)
+    if len(edges) > levels:
+        edges = np.exp(np.linspace(np.log(edges[0]), np.log(edges[-1]), levels + 1))[:-1]
+        edges[0] = 0.0
     code = np.searchsorted(edges, values, side="right")
     total = np.bincount(code, weights=np.log(values), minlength=levels + 1)
     count = np.bincount(code, minlength=levels + 1)
