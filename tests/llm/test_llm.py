@@ -355,3 +355,15 @@ def test_pipeline(spark):
     assert set(docs.columns) < set(out.columns) and 0 < out.count()
     assert out.select("doc_id").subtract(docs.select("doc_id")).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] and zlib.crc32(b"1") >= 0
+
+
+def test_crowded_seeds_are_matched_in_their_block_and_beyond(spark):
+    r = random.Random(8)
+    own = lambda n: " ".join(f"f{r.randrange(10**9)}" for _ in range(n))
+    shared = own(60)
+    data = [(i, f"{own(r.randrange(30))} {shared} {own(r.randrange(30))}") for i in range(90)] + [(i, own(200)) for i in range(90, 120)]
+    for parts in (1, 3, 45):  # crowded in a block, in some, in none
+        got = passages.repeated(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()
+        assert {x.doc_id for x in got} == set(range(1, 90))
+        assert all(dict(data)[x.doc_id][x.start : x.end] == dict(data)[x.other_id][x.other_start : x.other_end] == shared for x in got)
+        assert len(got) < 3 * 90 * passages.CROWD
