@@ -34,8 +34,8 @@ CHUNK = 1 << 19
 SMALL = 48
 
 
-def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1) -> np.ndarray:
-    """(texts, lanes) uint64. Lane k hashes with XXH64 seed 42 + k."""
+def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1, distinct: bool = False) -> np.ndarray:
+    """(texts, lanes) uint64. Lane k hashes with XXH64 seed 42 + k. With `distinct` a shingle counts once a text."""
     flat, first = split_words(texts)
     count = np.diff(first)
     out = np.zeros((len(count), lanes), np.uint64)
@@ -46,22 +46,36 @@ def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1) -> np.ndarray:
     length = np.asarray(pc.binary_length(flat)).astype(np.int64)
     start = np.cumsum(length + 1) - length - 1
     n = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    last = np.cumsum(n)
+    begins = last - n
+
+    def hashes(shingles: np.ndarray, owner: np.ndarray, lane: int) -> np.ndarray:
+        a = first[owner] + shingles - begins[owner]
+        b = np.minimum(a + words, first[owner + 1]) - 1
+        digest, seed = xxhash.xxh64_intdigest, SEED + lane
+        return np.fromiter((digest(joined[s:e], seed) for s, e in zip(start[a].tolist(), (start[b] + length[b]).tolist(), strict=True)), np.uint64, len(shingles))
+
+    # a block's shingles are fewer than its bytes, which Arrow keeps below 2^31
+    owners = np.repeat(np.arange(len(count), dtype=np.int32), n)
+    used, known = np.arange(len(owners), dtype=np.int32), None
+    if distinct:
+        known = np.concatenate([hashes(used[at : at + CHUNK], owners[at : at + CHUNK], 0) for at in range(0, len(used), CHUNK)])
+        order = np.lexsort((known, owners))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(owners[order]) != 0) | (np.diff(known[order]) != 0)
+        used = np.sort(order[fresh]).astype(np.int32)
+        known, owners = known[used], owners[used]
+        n = np.bincount(owners, minlength=len(count))
     ends = np.cumsum(n)
-    begins = ends - n
-    for at in range(0, int(ends[-1]), CHUNK):
-        stop = min(at + CHUNK, int(ends[-1]))
-        doc = np.searchsorted(ends, np.arange(at, stop), side="right")
-        a = first[doc] + np.arange(at, stop) - begins[doc]
-        b = np.minimum(a + words, first[doc + 1]) - 1
-        lo, hi = start[a].tolist(), (start[b] + length[b]).tolist()
+    tallies = {}
+    for at in range(0, len(used), CHUNK):
+        stop = min(at + CHUNK, len(used))
+        doc = owners[at:stop]
         heads = np.flatnonzero(np.diff(doc, prepend=-1))
         for lane in range(lanes):
-            seed, digest = SEED + lane, xxhash.xxh64_intdigest
-            h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(lo, hi, strict=True)), np.uint64, stop - at)
+            h = hashes(used[at:stop], doc, lane) if lane or known is None else known[at:stop]
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             sums = np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
-            if lane == 0 and at == 0:
-                tallies = {}
             for d, s in zip(doc[heads].tolist(), sums, strict=True):
                 key = (lane, d)
                 tallies[key] = tallies[key] + s if key in tallies else s
@@ -72,13 +86,13 @@ def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lane0, ...: fingerprint lanes as (signed) longs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
         for b in blocks(batches, "text"):
-            prints = fingerprints_of(b.column(1), words, lanes).view(np.int64)
+            prints = fingerprints_of(b.column(1), words, lanes, distinct).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(prints[:, k]) for k in range(lanes))], names=["doc_id", *(f"lane{k}" for k in range(lanes))])
 
     return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}" + "".join(f", lane{k} long" for k in range(lanes)))
@@ -191,9 +205,9 @@ def name(lanes: int):
     return F.concat(*[F.lpad(F.lower(F.hex(f"lane{k}")), 16, "0") for k in range(lanes)])
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, parts: int = 1, most: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, parts: int = 1, most: int | None = None, distinct: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint, component_id, one row for each row of docs."""
-    prints = written(fingerprints(docs, words, lanes).withColumn("fingerprint", name(lanes)), "prints")
+    prints = written(fingerprints(docs, words, lanes, distinct).withColumn("fingerprint", name(lanes)), "prints")
     nodes = prints.groupBy("fingerprint", *[f"lane{k}" for k in range(lanes)]).agg(F.min("doc_id").alias("first_id"))
     linked = groups(nodes, lanes, radius, parts, most)
     roots = nodes.select("fingerprint", "first_id").join(linked, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
@@ -208,8 +222,9 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: For the pipeline: shingles of five words and 128 bits in four parts of radius 4, so pairs within 19 bits are always
-#: found; pairs found up to 23 bits link too. 19 of 128 bits is the expected distance at a Jaccard similarity of 0.8.
-STAGE = {"words": 5, "lanes": 2, "parts": 4, "radius": 4, "most": 23}
+#: found; pairs found up to 23 bits link too. 19 of 128 bits is the expected distance at a Jaccard similarity of 0.8 of sets
+#: of shingles, so a shingle counts once a text: else one word repeated over and over would decide the fingerprint alone.
+STAGE = {"words": 5, "lanes": 2, "parts": 4, "radius": 4, "most": 23, "distinct": True}
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

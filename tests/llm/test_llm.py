@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -74,6 +75,28 @@ def test_covering_masks():
         assert ((m[:, 0] & d) == 0).any()
 
 
+def test_distinct_shingles(monkeypatch):
+    texts = ["a b c d e f g", "x " * 900 + "a b c d", None, "", "Short", "p q r s t u " * 40]
+    want = []
+    for text in texts:
+        w = (text or "").lower().split()
+        each = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        row = []
+        for lane in range(2):
+            h = [xxhash.xxh64_intdigest(s.encode(), 42 + lane) for s in each]
+            row.append(sum(1 << bit for bit in range(64) if sum(v >> bit & 1 for v in h) * 2 > len(h)))
+        want.append(row)
+    for chunk in (1 << 19, 7):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert simhash.fingerprints_of(pa.array(texts), 5, 2, True).tolist() == want
+
+
+def test_stage_keeps_texts_that_share_a_repeated_word(spark):
+    heads = [" ".join(f"{c}{k}" for k in range(40)) for c in "uvw"]
+    df = spark.createDataFrame([(i, h + " the" * 900, "s", "en", 1) for i, h in enumerate(heads)], "doc_id long, text string, source string, lang string, n_chars long")
+    assert simhash.stage(spark, df, SF).count() == 3
+
+
 def test_simhash_against_all_pairs(spark):
     got = simhash.near_duplicates(awkward(spark)).collect()
     assert len(got) == 10
