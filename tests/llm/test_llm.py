@@ -390,3 +390,37 @@ def test_crowded_seeds_are_matched_in_their_block_and_beyond(spark):
         assert {x.doc_id for x in got} == set(range(1, 90))
         assert all(dict(data)[x.doc_id][x.start : x.end] == dict(data)[x.other_id][x.other_start : x.other_end] == shared for x in got)
         assert len(got) < 3 * 90 * passages.CROWD
+
+
+def decided(data, got, least=50):
+    """Whether every run of `least` words that an earlier document repeats lies in a reported passage."""
+    held = {}
+    for i, text in sorted(data):
+        w = text.split()
+        for k in range(len(w) - least + 1):
+            held.setdefault(tuple(w[k : k + least]), i)
+    missed = 0
+    for i, text in data:
+        spans = [m.span() for m in re.finditer(r"\S+", text)]
+        w = text.split()
+        mine = [(r.start, r.end) for r in got if r.doc_id == i]
+        for k in range(len(w) - least + 1):
+            if held[tuple(w[k : k + least])] != i:
+                missed += not any(s <= spans[k][0] and spans[k + least - 1][1] <= e for s, e in mine)
+    return missed == 0
+
+
+def test_passages_overlapping_other_shared_stretches(spark):
+    r = random.Random(18)
+    own = lambda n: [f"f{r.randrange(10**9)}" for _ in range(n)]
+    p = own(60)
+    parts = {10: p, 20: p, 3: p[:33], 15: p[:33], 4: p[26:], 16: p[26:]}
+    data = [(i, " ".join(own(40) + w + own(40))) for i, w in parts.items()]
+    q = own(90)
+    for i in range(30, 90):  # stretches of one passage, cut anywhere
+        a = r.randrange(60)
+        data.append((i, " ".join(own(20) + q[a : a + r.randrange(20, 70)] + own(20))))
+    for n in (1, 7):
+        got = passages.repeated(spark.createDataFrame(data, "doc_id long, text string").repartition(n)).collect()
+        assert any((x.doc_id, x.other_id, x.n_words) == (20, 10, 60) for x in got)
+        assert decided(data, got)
