@@ -424,3 +424,29 @@ def test_passages_overlapping_other_shared_stretches(spark):
         got = passages.repeated(spark.createDataFrame(data, "doc_id long, text string").repartition(n)).collect()
         assert any((x.doc_id, x.other_id, x.n_words) == (20, 10, 60) for x in got)
         assert decided(data, got)
+
+
+def test_chains_take_a_predecessor_within_the_gap():
+    near = [(600 + 16 * k, 600 + 17 * k, 15) for k in range(4)]
+    found = passages.chains_of(np.array([(0, 0, 500), *near]))
+    assert [c.tolist() for c in found] == [[[0, 0, 500]], [list(a) for a in near]]
+
+
+def test_stretches_against_all():
+    a = np.arange(101)
+    b = np.where((a >= 55) & (a < 79), a + 1000, a)
+    got = passages.stretches(passages.aligned(np.array([(0, 0, 55), (79, 79, 22)]), a, b, 0, 0))
+    assert got[0][:2] == (0, 55) or got[0][1] - got[0][0] >= 55
+    # differences inside an anchor count
+    assert passages.stretches(passages.aligned(np.array([(0, 0, 101)]), a, np.where(a % 3, a, a + 1000), 0, 0)) == []
+    rng = random.Random(5)
+    for _ in range(200):
+        x = [k for k in range(160) if rng.random() < (0.95 if k // 40 % 2 else 0.6)]
+        pairs = np.stack((x, x), axis=1)
+        found = passages.stretches(pairs)
+        assert all(x1 - x0 >= 50 and share >= 0.8 - 1e-9 and share == pytest.approx(sum(x0 <= v < x1 for v in x) / (x1 - x0)) for x0, x1, _, _, share in found)
+        kept = set().union(*(range(f[0], f[1]) for f in found))
+        for i in range(len(x)):
+            for j in range(i, len(x)):
+                if x[j] - x[i] >= 49 and j - i + 1 >= 0.8 * (x[j] - x[i] + 1) - 1e-9:
+                    assert set(range(x[i], x[j] + 1)) <= kept
