@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -23,8 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(least, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        seen = Observation()
+        star = small.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
+        now = written(star.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "edges")
         # the same edges again: every node points at its root
-        was, mark = mark, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        was, mark = mark, (seen.get["n"], seen.get["x"])
         if was == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -8,7 +8,8 @@ of the part's tables. A pair within parts x (r + 1) - 1 bits in all is within r
 
 Pairs that meet are compared as whole fingerprints. Only distinct fingerprints are hashed into tables; a crowded bucket is
 searched outward from one member at a time, leaving out those already reached, and gives a spanning tree and never all its
-pairs. Links are joined into components over the corpus.
+pairs. Links are joined into components over the corpus. The pipeline's stage takes such groups as candidates only and
+decides each of their pairs by the exact Jaccard similarity of sets of shingles.
 
 Nulls, empties, ties: null and empty texts have no shingle and fingerprint zero, which is linked like any other; a text of
 fewer words than a shingle is one shingle; exactly half the shingles leave a bit 0; a null doc_id keeps its row, and a
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, split_words, table, written
@@ -34,29 +35,35 @@ CHUNK = 1 << 19
 SMALL = 48
 
 
+class Shingles:
+    """Shingles of texts as slices of one buffer: words joined by one space. `owners` has each shingle's text."""
+
+    def __init__(self, texts: pa.Array, words: int):
+        flat, self.first = split_words(texts)
+        count = np.diff(self.first)
+        self.count, self.words = len(count), words
+        self.joined = pc.binary_join_element_wise(flat.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())).buffers()[2].to_pybytes() if len(flat) else b""
+        self.length = np.asarray(pc.binary_length(flat)).astype(np.int64)
+        self.start = np.cumsum(self.length + 1) - self.length - 1
+        self.n = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+        self.begins = np.cumsum(self.n) - self.n
+        # a block's shingles are fewer than its bytes, which Arrow keeps below 2^31
+        self.owners = np.repeat(np.arange(self.count, dtype=np.int32), self.n)
+
+    def hashes(self, shingles: np.ndarray, owner: np.ndarray, lane: int) -> np.ndarray:
+        a = self.first[owner] + shingles - self.begins[owner]
+        b = np.minimum(a + self.words, self.first[owner + 1]) - 1
+        digest, seed, joined = xxhash.xxh64_intdigest, SEED + lane, self.joined
+        return np.fromiter((digest(joined[s:e], seed) for s, e in zip(self.start[a].tolist(), (self.start[b] + self.length[b]).tolist(), strict=True)), np.uint64, len(shingles))
+
+
 def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1, distinct: bool = False) -> np.ndarray:
     """(texts, lanes) uint64. Lane k hashes with XXH64 seed 42 + k. With `distinct` a shingle counts once a text."""
-    flat, first = split_words(texts)
-    count = np.diff(first)
-    out = np.zeros((len(count), lanes), np.uint64)
-    if not len(flat):
+    shingles = Shingles(texts, words)
+    out = np.zeros((shingles.count, lanes), np.uint64)
+    owners, n, hashes = shingles.owners, shingles.n, shingles.hashes
+    if not len(owners):
         return out
-    # words joined by one space in one buffer; a shingle is a slice of it
-    joined = pc.binary_join_element_wise(flat.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())).buffers()[2].to_pybytes()
-    length = np.asarray(pc.binary_length(flat)).astype(np.int64)
-    start = np.cumsum(length + 1) - length - 1
-    n = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
-    last = np.cumsum(n)
-    begins = last - n
-
-    def hashes(shingles: np.ndarray, owner: np.ndarray, lane: int) -> np.ndarray:
-        a = first[owner] + shingles - begins[owner]
-        b = np.minimum(a + words, first[owner + 1]) - 1
-        digest, seed = xxhash.xxh64_intdigest, SEED + lane
-        return np.fromiter((digest(joined[s:e], seed) for s, e in zip(start[a].tolist(), (start[b] + length[b]).tolist(), strict=True)), np.uint64, len(shingles))
-
-    # a block's shingles are fewer than its bytes, which Arrow keeps below 2^31
-    owners = np.repeat(np.arange(len(count), dtype=np.int32), n)
     used, known = np.arange(len(owners), dtype=np.int32), None
     if distinct:
         known = np.concatenate([hashes(used[at : at + CHUNK], owners[at : at + CHUNK], 0) for at in range(0, len(used), CHUNK)])
@@ -65,7 +72,7 @@ def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1, distinct: bool
         fresh[1:] = (np.diff(owners[order]) != 0) | (np.diff(known[order]) != 0)
         used = np.sort(order[fresh]).astype(np.int32)
         known, owners = known[used], owners[used]
-        n = np.bincount(owners, minlength=len(count))
+        n = np.bincount(owners, minlength=shingles.count)
     ends = np.cumsum(n)
     tallies = {}
     for at in range(0, len(used), CHUNK):
@@ -79,23 +86,24 @@ def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1, distinct: bool
             for d, s in zip(doc[heads].tolist(), sums, strict=True):
                 key = (lane, d)
                 tallies[key] = tallies[key] + s if key in tallies else s
-        done = int(np.searchsorted(ends, stop, side="right")) if stop < ends[-1] else len(count)
+        done = int(np.searchsorted(ends, stop, side="right")) if stop < ends[-1] else shingles.count
         for lane, d in [k for k in tallies if k[1] < done]:
             bit = tallies.pop((lane, d)) * 2 > n[d]
             out[d, lane] = np.packbits(bit, bitorder="little").view(np.uint64)[0]
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, lane0, ...: fingerprint lanes as (signed) longs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, words: int, lanes: int = 1, distinct: bool = False, *more: str) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, lane0, ...: fingerprint lanes as (signed) longs. `more` columns are carried along."""
+    kept = ["doc_id", *more]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def each(batches):
         for b in blocks(batches, "text"):
-            prints = fingerprints_of(b.column(1), words, lanes, distinct).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(prints[:, k]) for k in range(lanes))], names=["doc_id", *(f"lane{k}" for k in range(lanes))])
+            prints = fingerprints_of(b.column(len(kept)), words, lanes, distinct).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *(pa.array(prints[:, k]) for k in range(lanes))], names=[*kept, *(f"lane{k}" for k in range(lanes))])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}" + "".join(f", lane{k} long" for k in range(lanes)))
+    return docs.select(*kept, "text").mapInArrow(each, kinds + "".join(f", lane{k} long" for k in range(lanes)))
 
 
 def masks(radius: int, lanes: int = 1, parts: int = 1) -> np.ndarray:
@@ -205,9 +213,9 @@ def name(lanes: int):
     return F.concat(*[F.lpad(F.lower(F.hex(f"lane{k}")), 16, "0") for k in range(lanes)])
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, parts: int = 1, most: int | None = None, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, parts: int = 1, most: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint, component_id, one row for each row of docs."""
-    prints = written(fingerprints(docs, words, lanes, distinct).withColumn("fingerprint", name(lanes)), "prints")
+    prints = written(fingerprints(docs, words, lanes).withColumn("fingerprint", name(lanes)), "prints")
     nodes = prints.groupBy("fingerprint", *[f"lane{k}" for k in range(lanes)]).agg(F.min("doc_id").alias("first_id"))
     linked = groups(nodes, lanes, radius, parts, most)
     roots = nodes.select("fingerprint", "first_id").join(linked, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
@@ -221,18 +229,151 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: For the pipeline: shingles of five words and 128 bits in four parts of radius 4, so pairs within 19 bits are always
-#: found; pairs found up to 23 bits link too. 19 of 128 bits is the expected distance at a Jaccard similarity of 0.8 of sets
+#: For the pipeline: shingles of five words and 128 bits in four parts of radius 4, so pairs within 19 bits always meet;
+#: pairs that meet are candidates up to 27 bits. 19 of 128 bits is the expected distance at a Jaccard similarity of 0.8 of sets
 #: of shingles, so a shingle counts once a text: else one word repeated over and over would decide the fingerprint alone.
-STAGE = {"words": 5, "lanes": 2, "parts": 4, "radius": 4, "most": 23, "distinct": True}
+STAGE = {"lanes": 2, "parts": 4, "radius": 4, "most": 27}
+STAGE_WORDS = 5
+SIMILARITY = 0.8
+#: Shingle hashes of a pack of texts that are compared at once, and texts of a group taken as pivots, round by round.
+PACK = 1 << 18
+PIVOTS = (1, 16, 256)
+#: Groups up to this size take all their texts as pivots at once.
+FEW = 8
+
+
+def sets_of(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, flat, and where each text's begin (one more entry than texts)."""
+    shingles = Shingles(texts, words)
+    h = shingles.hashes(np.arange(len(shingles.owners), dtype=np.int32), shingles.owners, 0)
+    order = np.lexsort((h, shingles.owners))
+    h, owner = h[order], shingles.owners[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    return h[fresh], np.searchsorted(owner[fresh], np.arange(shingles.count + 1))
+
+
+def _unpacked(packs) -> tuple[list, np.ndarray, list[np.ndarray]]:
+    """Keys, lanes and sets of a list of structs (key, lanes, shingles)."""
+    flat = packs.flatten()
+    sets = flat.field("shingles")
+    at = np.asarray(sets.offsets)
+    values = np.asarray(sets.values).view(np.uint64)
+    lanes = np.asarray(flat.field("lanes").flatten()).view(np.uint64).reshape(len(flat), -1)
+    return flat.field("key").to_pylist(), lanes, [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity; two empty ones are equal."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    if not len(a):
+        return True
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _compare(most: int, least: float):
+    def each(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                (p_keys, p, p_sets), (m_keys, m, m_sets) = _unpacked(one.column(0)), _unpacked(one.column(1))
+                out_a, out_b = [], []
+                for k, key in enumerate(p_keys):
+                    for j in np.flatnonzero(np.bitwise_count(m ^ p[k]).sum(axis=1) <= most).tolist():
+                        if m_keys[j] != key and alike(p_sets[k], m_sets[j], least):
+                            out_a.append(key)
+                            out_b.append(m_keys[j])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string())], names=["a", "b"])
+
+    return each
+
+
+def verified(members: DataFrame, most: int, least: float) -> DataFrame:
+    """members(root, key, lanes array, shingles array), a row for each text of a candidate group -> (node, cluster): the
+    components of the pairs of a group within `most` bits and with at least that Jaccard similarity.
+
+    One pivot of each group (in a group of FEW, each text) is compared with its whole group; what isn't joined to the first
+    pivot's cluster gives the next pivots, ever more of them, until each text outside that cluster has been compared with
+    all of its group. So every pair is decided, and a group of many copies of one text takes a few passes and not all its
+    pairs. A group is compared in packs that are spread over tasks.
+    """
+    members = written(members, "members")
+    packs = members.groupBy("root").agg((F.floor(F.sum(F.size("shingles") + 16) / PACK) + 1).cast("int").alias("packs"), F.count("*").alias("size"))
+    members = members.join(packs, "root").withColumn("pack", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
+    one = F.struct("key", "lanes", "shingles")
+    packed = written(members.groupBy("root", "pack").agg(F.collect_list(one).alias("texts")), "packs")
+    light = written(members.select("root", "key", "packs", "size", F.size("shingles").alias("n")), "light")
+    first = light.groupBy("root").agg(F.min("key").alias("main"))
+    done, edges, found = None, None, None
+    for turn in (*PIVOTS, None):
+        if done is None:
+            open_ = light.join(first, "root").where(f"key = main OR size <= {FEW}").drop("main")
+        else:
+            home = light.join(found, F.col("key") == F.col("node"), "left").select("root", "key", "packs", "size", "n", F.coalesce("cluster", "key").alias("cluster"))
+            heart = home.join(first, (first["root"] == home["root"]) & (first["main"] == home["key"])).select(home["root"], home["cluster"].alias("heart"))
+            open_ = home.join(heart, "root").where(f"cluster <> heart AND size > {FEW}").select("root", "key", "packs", "n").join(done, "key", "left_anti")
+        if turn and done is not None:
+            open_ = open_.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("key"))).where(F.col("k") <= turn).drop("k")
+        # pivots travel in blocks of a bounded size to each pack of their group
+        open_ = open_.join(open_.groupBy("root").agg((F.floor(F.sum(F.col("n") + 16) / PACK) + 1).cast("int").alias("blocks")), "root")
+        pivots = written(open_.select("root", "key", "packs", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int").alias("block")), "pivots")
+        if pivots.isEmpty():
+            break
+        blocks_ = pivots.join(members.select("key", "lanes", "shingles"), "key").groupBy("root", "packs", "block").agg(F.collect_list(one).alias("pivots"))
+        sent = blocks_.withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).join(packed, ["root", "pack"]).select("pivots", "texts")
+        links = written(sent.mapInArrow(_compare(most, least), "a string, b string"), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        done = pivots.select("key") if done is None else done.unionByName(pivots.select("key"))
+        found = components(edges).withColumnRenamed("root", "cluster")
+    return found
+
+
+def clusters(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY, **how) -> DataFrame:
+    """docs(doc_id, key, text), key the same for equal texts only -> (key, first_id, cluster) for each distinct text:
+    clusters of texts linked by fingerprints and by the exact Jaccard similarity of their sets of shingles."""
+    lanes, most = how["lanes"], how["most"]
+    cols = [f"lane{k}" for k in range(lanes)]
+    prints = fingerprints(docs, words, lanes, True, "key").withColumn("fingerprint", name(lanes))
+    nodes = written(prints.groupBy("key", "fingerprint", *cols).agg(F.min("doc_id").alias("first_id")), "nodes")
+    linked = groups(nodes.select(*cols).distinct(), lanes, how["radius"], how["parts"], most)
+    rooted = nodes.join(linked, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint")).drop("node")
+    rooted = written(rooted.select("key", "root", "first_id", F.array(*cols).alias("lanes")), "rooted")
+    shared = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    candidates = written(rooted.join(shared, "root", "left_semi"), "candidates")
+    # the texts of candidates, one row for each
+    texts = docs.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "text")
+    wanted = candidates.join(texts, (F.col("key") == F.col("k")) & F.col("first_id").eqNullSafe(F.col("d"))).select("root", "key", "lanes", "text")
+
+    def sets(batches):
+        for b in blocks(batches, "text"):
+            h, at = sets_of(b.column(3), words)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["root", "key", "lanes", "shingles"])
+
+    members = wanted.mapInArrow(sets, "root string, key string, lanes array<long>, shingles array<long>").dropDuplicates(["key"])
+    found = verified(members, most, least)
+    if found is None:
+        return rooted.select("key", "first_id", F.col("key").alias("cluster"))
+    return rooted.join(found, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("cluster", "key").alias("cluster"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents -> documents with one of each group: the row with the smallest doc_id (of rows that repeat it, one)."""
-    found = near_duplicates(docs, **STAGE).select("doc_id", "component_id").distinct()
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    from pyspark.sql import Window
-
-    once = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    turn = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
-    return once.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").select(*docs.columns)
+    """documents -> documents with one row of each group of near copies.
+
+    Texts are near copies at a Jaccard similarity of at least 0.8 of their sets of five-word shingles, and so on from text to
+    text. Groups are of texts: ids play no part in them. The row with the smallest doc_id stays (null ids last, then by
+    digest of the text; of rows equal in both, one). Null texts count as empty, and all texts without a word are one group;
+    texts of under five words are near copies if their words are the same; rows with a null or a shared doc_id are judged by
+    their texts. Columns may have any names. An empty table gives an empty result.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col("doc_id"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("key"), F.col("text"))
+    found = clusters(keyed.select("doc_id", "key", "text"), **STAGE)
+    best = found.groupBy("cluster").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("b")).select(F.col("b.key").alias("k"), F.col("b.first_id").alias("d"))
+    kept = keyed.select("row", "key", "doc_id").join(best, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    turn = Window.partitionBy("key", "doc_id").orderBy(F.xxhash64(*plain))
+    return kept.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
