@@ -6,10 +6,11 @@ branch is skipped if that bound times `factor` is beyond the k-th best so far. F
 skips more and may miss neighbours.
 
 Each shard's tree is built by one task from a bounded number of rows and stored in the shared folder; queries travel to
-every shard in blocks, and each block brings back its best few from each shard. Scores are cosines in double precision of
-the original vectors, summed in component order.
+every shard in blocks. In a shard a query first finds its k-th best distance and then every row within rounding of it; those
+rows get exact scores, and the shard's best k by score and vec_id come back. Scores are cosines in double precision of the
+original vectors, summed in component order.
 
-Nulls, empties, ties: vectors that are null, empty, zero or hold a null or non-finite component take no part, as queries or
+vec_id is an integer. Nulls, empties, ties: vectors that are null, empty, zero or hold a null or non-finite component take no part, as queries or
 candidates; a vector only meets vectors of its own length; equal scores go to the smaller vec_id; a null vec_id takes no
 part; rows that repeat a vec_id with the same vector count once, and none is its own neighbour. An empty table, or one
 without queries, gives an empty result. Equal vectors are stored once with their ids, so a vector that a third of all rows
@@ -34,15 +35,15 @@ FACTOR = 1.0
 SHARD_ROWS = 16384
 BLOCK_ROWS = 1024
 LEAF = 256
-#: More distinct vectors are kept than asked for, so that rounding in the search can't change the order.
-SPARE = 3
+#: Squared distances of unit vectors that rounding can't tell apart.
+ROUNDING = 1e-12
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vectors(vec_id, embedding) -> vec_id, v (array of double), dim; one row for each distinct one."""
     v = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(fine).select("vec_id", v.alias("v"), F.size("embedding").alias("dim")).distinct()
+    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size("embedding").alias("dim")).distinct()
 
 
 class Tree:
@@ -97,6 +98,24 @@ class Tree:
         visit(self.root, np.arange(len(q)))
         return best, rows, seen
 
+    def within(self, q: np.ndarray, far: np.ndarray, factor: float = 1.0):
+        """Yields (query numbers, row numbers) of all rows at squared distance `far` or less, a value for each query."""
+
+        def visit(node, active):
+            if not len(active):
+                return
+            if isinstance(node, np.ndarray):
+                a, b = np.nonzero(distances(q[active], self.x[node]) ** 2 <= far[active][:, None])
+                yield active[a], node[b]
+                return
+            at, near, far_child, in_near, in_far = node
+            d = distances(q[active], self.x[at][None])[:, 0]
+            for child, (lo, hi) in ((near, in_near), (far_child, in_far)):
+                least = np.maximum(np.maximum(d - hi, lo - d) - 1e-6, 0) * factor
+                yield from visit(child, active[least**2 <= far[active]])
+
+        yield from visit(self.root, np.arange(len(q)))
+
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
@@ -158,18 +177,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
             for tree, queries in zip(b.column(0), b.column(1), strict=True):
                 distinct, ids, cut, vp = pickle.loads(tree.as_py())
                 q_ids, q = pickle.loads(queries.as_py())
-                _, rows, _ = vp.search(unit(q), k + 1 + SPARE, factor)
-                out_q, out_v, out_s = [], [], []
-                some = np.argwhere(rows >= 0)
-                where, row = some[:, 0], rows[some[:, 0], some[:, 1]]
-                scores = cosine(q[where], distinct[row]) if len(where) else np.zeros(0)
-                for w, r, s in zip(where.tolist(), row.tolist(), scores.tolist(), strict=True):
-                    own = q_ids[w]
-                    found = [i for i in ids[cut[r] : min(cut[r] + k + 1, cut[r + 1])].tolist() if i != own][:k]
-                    out_q += [own] * len(found)
-                    out_v += found
-                    out_s += [s] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+                asked, out = unit(q), []
+                best, _, _ = vp.search(asked, k + 1, factor)
+                found = list(vp.within(asked, best.max(axis=1) ** 2 + ROUNDING, factor))
+                who, row = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+                order = np.argsort(who, kind="stable")
+                who, row = who[order], row[order]
+                for w in range(len(q)):
+                    a, b = np.searchsorted(who, [w, w + 1])
+                    mine, own = row[a:b], q_ids[w]
+                    score = cosine(q[w][None], distinct[mine]) if len(mine) else np.zeros(0)
+                    # the first ids of each distinct vector
+                    at = np.concatenate([np.arange(cut[r], min(cut[r] + k + 1, cut[r + 1])) for r in mine.tolist()]) if len(mine) else np.zeros(0, np.int64)
+                    score = np.repeat(score, np.minimum(cut[mine + 1] - cut[mine], k + 1))
+                    score, at = score[ids[at] != own], at[ids[at] != own]
+                    top = np.lexsort((ids[at], -score))[:k]
+                    out += [(own, i, s) for i, s in zip(ids[at[top]].tolist(), score[top].tolist(), strict=True)]
+                columns = list(zip(*out, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     near = sent.join(trees, ["dim", "shard"]).select("tree", "queries").mapInArrow(answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -178,7 +203,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
 
 def op7_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of all embeddings for those whose vec_id is divisible by 50."""
-    vectors = usable(table(spark, sf_dir, "embeddings"))
+    vectors = written(usable(table(spark, sf_dir, "embeddings")), "vectors")
     return search(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
 
