@@ -1,29 +1,38 @@
 """Mixing sources to target weights by Pareto order sampling [DataFrame functions only].
 
-A source's target T and size S (words) give every document the inclusion rate r = T / S. floor(r) whole copies are certain;
-the rest p = r - floor(r) is an inclusion probability, and a document's rank is its random odds u / (1 - u) divided by its
-inclusion odds p / (1 - p). The smallest ranks are taken until their words fill what remains of the target (a sample of
-fixed size, counted in words: it misses the target by at most half of the document on the edge).
+A source's target T is spread over its documents at rates min(most, level x weight): a document's weight grows with the
+logarithm of its size, so longer documents are likelier, and the level makes the rates times sizes add up to T. floor(rate)
+whole copies are certain; the rest p = rate - floor(rate) is an inclusion probability, unequal inside a source. A document's
+rank is its random odds u / (1 - u) divided by its inclusion odds p / (1 - p). The smallest ranks are taken until their
+words fill what remains of the target (a sample of fixed size, counted in words: it misses the target by at most half of the
+document on the edge).
+
+What is decided is a rate for each (source, weight) and a cut for each source, two small tables; only ids, sizes and sources
+are aggregated and sorted to find them, and no text takes part in a shuffle unless Spark finds those tables too large to
+broadcast.
 
 Nulls, empties, ties: a null text has size 0 and is taken 0 words; a null source is a source of its own, last in order; a
-null doc_id hashes as a value of its own; repeated rows each count; equal ranks go by doc_id. An empty table gives an empty
-result. A source without words has target 0. Columns of the input are kept; the added names replace clashing ones.
+null doc_id hashes as a value of its own, together with the size; repeated rows each count, but have one rank: those on the
+edge are taken in about the share that is needed. An empty table gives an empty result. A source without words has target 0
+and none of its documents is taken. Columns of the input are kept; the added names replace clashing ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import table, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 #: Bands of rank in which a source's words are summed before the edge is looked for.
-BANDS = 1024
+BANDS = 4096
+#: Steps of a document's weight: powers of 2^(1/8).
+STEPS = 8
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -46,36 +55,70 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return levels.withColumn("target", F.when(F.col("__level").isNull(), F.col("__cap")).otherwise(F.least("__cap", F.col("__level") * F.col("__w")))).select("source", "source_size", "target")
 
 
+def step_of(size: Column) -> Column:
+    """A document's weight 2^(step / STEPS): the natural logarithm of e + size, in steps."""
+    return F.round(F.log2(F.log(F.lit(2.718281828459045) + size)) * STEPS).cast("int")
+
+
+def rates(sizes: DataFrame, most: float = MOST) -> DataFrame:
+    """sizes(source, step, words, source_size, target) -> with rate = min(most, level x weight), so that a source's rates
+    times words add up to its target: the heaviest steps reach `most` first. A source has a few dozen steps."""
+    weight = F.pow(F.lit(2.0), F.col("step") / STEPS)
+    down = Window.partitionBy("source").orderBy(F.desc("step"))
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    after = down.rowsBetween(0, Window.unboundedFollowing)
+    rows = sizes.withColumn("weight", weight)
+    level = (F.col("target") - most * F.coalesce(F.sum("words").over(before), F.lit(0))) / F.sum(F.col("words") * F.col("weight")).over(after)
+    rows = rows.withColumn("level", F.when((F.col("words") > 0) & (level * F.col("weight") <= most), level))
+    rate = F.least(F.lit(most), F.col("top") * F.col("weight"))
+    rows = rows.withColumn("top", F.max("level").over(Window.partitionBy("source")))
+    return rows.withColumn("rate", F.when(F.col("source_size") <= 0, 0.0).otherwise(F.coalesce(rate, F.lit(most)))).drop("weight", "level", "top")
+
+
+def _ranked(rows: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
+    """rows(source, step, u, ...) with the planned rate, p and rank of each (source, step)."""
+    p = F.col("rate") - F.floor("rate")
+    rows = rows.join(planned.select(F.col("source").alias("of"), F.col("step").alias("at"), "rate"), F.col("source").eqNullSafe(F.col("of")) & (F.col("step") == F.col("at")), "left").drop("of", "at")
+    return rows.withColumn("rank", F.when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 20, bands: int = BANDS) -> DataFrame:
     """docs(doc_id, source, size, ...) -> with source_size, target, copies, taken."""
     docs = docs.drop("source_size", "target", "copies", "taken")
-    sizes = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    goals = targets(sizes, weights, share, most).select(F.col("source").alias("__source"), "source_size", "target")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null"))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    p = F.col("__rate") - F.floor("__rate")
-    rows = (
-        docs.join(goals, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-        .withColumn("__rate", rate)
-        .withColumn("__u", u)
-        .withColumn("__rank", F.when(p > 0, (F.col("__u") / (1 - F.col("__u"))) / (p / (1 - p))))
-        .withColumn("__band", F.coalesce(F.floor(F.col("__rank") / (1 + F.col("__rank")) * bands), F.lit(bands)).cast("int"))
-    )
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")), "size"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    keyed = docs.select("source", "size", step_of(F.col("size")).alias("step"), u.alias("u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sums = keyed.groupBy("source", "step").agg(F.sum("size").cast("long").alias("words"))
+    sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
+    goals = targets(sizes, weights, share, most).withColumnRenamed("source", "of")
+    planned = written(rates(sums.join(goals, F.col("source").eqNullSafe(F.col("of"))).drop("of"), most), "rates")
+    want = planned.groupBy("source").agg((F.first("target") - F.sum(F.floor("rate") * F.col("words"))).alias("want"))
+    ranked = _ranked(keyed.select("source", "size", "step", "u"), planned, seed).where("rank IS NOT NULL")
+    band = F.floor(F.col("rank") / (1 + F.col("rank")) * bands).cast("int")
     # words in each band of a source: sources x bands rows, however many documents there are
-    summed = rows.groupBy("source", "__band").agg(F.sum("size").alias("__words"))
-    running = Window.partitionBy("source").orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    summed = summed.select(F.col("source").alias("__bs"), F.col("__band").alias("__bb"), F.coalesce(F.sum("__words").over(running), F.lit(0)).alias("__before"), "__words")
-    rows = rows.join(summed, F.col("source").eqNullSafe(F.col("__bs")) & (F.col("__band") == F.col("__bb")), "left").drop("__bs", "__bb")
-    want = F.col("target") - F.floor("__rate") * F.col("source_size")
-    rows = rows.withColumn("__want", F.when(F.col("__rank").isNull(), F.lit(0.0)).otherwise(want))
-    edge = (F.col("__before") < F.col("__want")) & (F.col("__before") + F.col("__words") > F.col("__want"))
-    rows = rows.withColumn("__edge", edge)
-    inside = rows.where(~F.col("__edge")).withColumn("__more", (F.col("__rank").isNotNull() & (F.col("__before") + F.col("__words") <= F.col("__want"))).cast("int"))
-    by_rank = Window.partitionBy("source").orderBy("__rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("__before") + F.coalesce(F.sum("size").over(by_rank), F.lit(0)) + F.col("size") / 2
-    at_edge = rows.where("__edge").withColumn("__more", (upto <= F.col("__want")).cast("int"))
-    chosen = inside.unionByName(at_edge).withColumn("copies", (F.floor("__rate") + F.col("__more")).cast("long"))
-    return chosen.withColumn("taken", F.col("copies") * F.col("size")).drop("__rate", "__u", "__rank", "__band", "__before", "__words", "__want", "__edge", "__more")
+    summed = ranked.groupBy("source", band.alias("band")).agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    summed = summed.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(want.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    edge = written(summed.where("before < want AND before + words >= want").select(F.col("source").alias("of"), F.col("band").alias("edge_band"), "before", "want"), "edge")
+    # the documents of the edge's band, by rank
+    inside = ranked.join(edge, F.col("source").eqNullSafe(F.col("of")) & (band == F.col("edge_band"))).groupBy("source", "rank").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("want").alias("want"))
+    upto = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    part = F.when(F.col("n") == 1, (F.col("before") + F.col("words") / 2 <= F.col("want")).cast("double")).otherwise((F.col("want") - F.col("before")) / F.col("words"))
+    last = inside.where("before < want AND before + words >= want").groupBy("source").agg(F.min(F.struct("rank", part.alias("part"))).alias("cut"))
+    cuts = want.join(last.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
+    # a source whose ranks don't reach its target takes them all
+    none = F.when(F.col("want") > 0, F.struct(F.lit(float("inf")).alias("rank"), F.lit(1.0).alias("part"))).otherwise(F.struct(F.lit(-1.0).alias("rank"), F.lit(0.0).alias("part")))
+    cuts = cuts.select(F.col("source").alias("of"), F.coalesce("cut", none).alias("cut"))
+    plan = written(planned.join(cuts, F.col("source").eqNullSafe(F.col("of"))).drop("of", "words"), "plan")
+    plan = plan.select(F.col("source").alias("of"), F.col("step").alias("at"), "source_size", "target", "rate", "cut")
+    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("step") == F.col("at")), "left")
+    p = F.col("rate") - F.floor("rate")
+    rank = F.when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
+    # rows of one rank on the edge are copies of one document; any of them will do
+    lot = (F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), "u"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    more = F.coalesce((rank < F.col("cut.rank")) | ((rank == F.col("cut.rank")) & ((F.col("cut.part") >= 1) | (lot < F.col("cut.part")))), F.lit(False))
+    copies = (F.floor("rate") + more.cast("int")).cast("long")
+    return rows.select("row.*", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +128,11 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents -> documents of the mix: a row for each copy taken, none for those not taken."""
-    columns = docs.columns
-    chosen = mix(docs.withColumn("size", word_count(F.col("text"))) if "size" not in columns else docs.drop("size").withColumn("size", word_count(F.col("text"))))
-    return chosen.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[c for c in columns if c in chosen.columns])
+    """documents -> documents of the mix: a row for each copy taken, none for those not taken.
+
+    Needs doc_id, source and text; nulls, empties and ties as in the module. All columns keep their values, whatever their
+    names. An empty table gives an empty result.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.alias("whole")))
+    return chosen.where("copies > 0").select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("whole.*")
