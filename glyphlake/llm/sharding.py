@@ -43,15 +43,17 @@ def place(records: DataFrame, key: str, weights: Sequence[float], shard: str = "
 def numbered(placed: DataFrame, order: Sequence[str], shard: str = "shard", slot: str = "slot", parts: int = PARTS) -> DataFrame:
     """placed with `slot`: gapless from 0 in each shard. A shard is numbered in `parts` hash parts side by side; only their
     sizes (shards x parts rows) are summed in one place. Rows equal in all of `order` are interchangeable."""
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(parts)).cast("int")
-    rows = placed.withColumn("__part", part)
-    sizes = rows.groupBy(shard, "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(shard).alias("__s"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(shard, "__part").orderBy(*order)
+    whole = F.struct(*[F.col(f"`{c}`") for c in placed.columns if c != slot])
+    keys = [F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(order)]
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(parts)).cast("int")
+    rows = placed.select(whole.alias("row"), F.col(f"`{shard}`").alias("shard"), part.alias("part"), *keys)
+    sizes = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "part").orderBy(*[f"o{k}" for k in range(len(keys))])
     # starts has at most shards x parts rows, a size fixed by parameters
-    joined = rows.withColumn("__k", F.row_number().over(inside) - 1).join(F.broadcast(starts), (F.col(shard) == F.col("__s")) & (F.col("__part") == F.col("__p")))
-    return joined.withColumn(slot, (F.col("__start") + F.col("__k")).cast("long")).drop("__part", "__k", "__s", "__p", "__start")
+    joined = rows.withColumn("k", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["shard", "part"])
+    return joined.select("row.*", (F.col("start") + F.col("k")).cast("long").alias(slot))
 
 
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,10 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents -> documents with shard and slot. Rows repeated by the mix share their document's shard."""
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    return numbered(place(docs.select(*kept), "doc_id", [1.0] * SHARDS), ["doc_id", "source", "n_chars"])
+    """documents -> documents with shard and slot. Rows repeated by the mix share their document's shard.
+
+    Needs doc_id only. A null doc_id is a key like any other; columns named shard or slot are replaced, all others keep
+    their values, whatever their names. An empty table gives an empty result.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    return numbered(place(docs.select(*kept), "doc_id", [1.0] * SHARDS), ["doc_id"])
