@@ -4,8 +4,10 @@ Test questions and answers are normalised (A-Z lowered, words joined by one spac
 consecutive words; an item of fewer words, but not none, is one window. All windows make one automaton, which scans each
 document's normalised words once; matches are mapped to word numbers and, for spans, to offsets in the original text.
 
-The automaton is built on the driver from the benchmark, a stated set; it is broadcast in parts of at most PART_BYTES of
-normalised windows, so a larger benchmark costs more scans and not more memory.
+The automaton is built on the driver from the benchmark, a stated set. Its size is counted in trie nodes (one for each byte
+of distinct windows at most; some 50 bytes of memory each). A benchmark of more than PART_NODES is dealt by hash of the
+window into parts, which are broadcast, scanned and released one after the other: a worker holds one part at a time. The
+passes meet by digest of the text, hits only, so a larger benchmark costs more scans and not more memory.
 
 Nulls, empties, ties: a null or empty text, or one without words, has no words and no hits; an item without words has no
 window; windows that several items share count for each; a null item_id marks words but is not listed; repeated items
@@ -15,7 +17,9 @@ count once. An empty benchmark leaves every document clean, an empty table gives
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WORDS = 10
-PART_BYTES = 32 << 20
+PART_NODES = 4 << 20
 #: Fixed value: the characters of a word, after lowering A-Z.
 WORD_CHARS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,13 +53,12 @@ def windows(text: str | None, words: int = WORDS) -> list[bytes]:
 
 
 class Automaton:
-    """Windows of items. items: (item_id, text). hits(text) -> (words, hit words, item numbers, merged spans of words)."""
+    """Windows of items. windows: (item_id, window). hits(text) -> (words, item ids, hit words as merged spans)."""
 
-    def __init__(self, items, words: int = WORDS):
+    def __init__(self, windows_):
         owners: dict[bytes, set] = {}
-        for item, text in items:
-            for w in windows(text, words):
-                owners.setdefault(w, set()).add(item)
+        for item, w in windows_:
+            owners.setdefault(w, set()).add(item)
         self.found = ahocorasick.Automaton()
         for w, ids in owners.items():
             # latin-1 gives one character a byte, so positions are byte positions
@@ -87,49 +90,84 @@ class Automaton:
         return len(w), ids, spans
 
 
-def parts_of(spark: SparkSession, items: DataFrame, words: int, part_bytes: int) -> Iterator:
-    """Broadcast automata over parts of the items, each of bounded size. The windows of an item repeat each word up to
-    `words` times, which the bound counts."""
-    cost = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1) * words
-    total = items.agg(F.sum(cost)).first()[0] or 0
-    n = max(1, -(-int(total) // part_bytes))
+def parts_of(items: DataFrame, words: int, part_nodes: int) -> Iterator[Automaton]:
+    """Automata over parts of the items' windows, one at a time."""
+    total = items.agg(F.sum((F.coalesce(F.octet_length("text"), F.lit(0)) + 2) * words)).first()[0] or 0
+    n = max(1, -(-int(total) // part_nodes))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield spark.sparkContext.broadcast(Automaton([(r[0], r[1]) for r in part.toLocalIterator()], words))
+        yield Automaton((r[0], w) for r in items.toLocalIterator() for w in windows(r[1], words) if n == 1 or zlib.crc32(w) % n == k)
 
 
-def scan(docs: DataFrame, items: DataFrame, words: int = WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
+RESULT = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+RESULT_DDL = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
+
+
+def _result(text: str | None, n: int, ids, spans) -> tuple:
+    names = sorted({str(i) for i in ids if i is not None})
+    return n, sum(e - s for s, e in spans), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(spans), names, [{"start": s, "end": e} for s, e in offsets(text, spans)]
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate(RESULT.values())]
+
+
+def _digest(text: str | None) -> str:
+    return hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def found_in(docs: DataFrame, automata: Iterator[Automaton]) -> DataFrame:
+    """docs(text) -> (key, ids, spans) for each distinct text that a part of the automaton hits, and part; written part by part."""
+    out = None
+    for part in automata:
+        held = docs.sparkSession.sparkContext.broadcast(part)
+
+        def look(batches, held=held):
+            for b in batches:
+                rows = []
+                for x in b.column(0):
+                    _, ids, spans = held.value.hits(x.as_py())
+                    if spans:
+                        rows.append((_digest(x.as_py()), [str(i) for i in ids if i is not None], [v for s in spans for v in s]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["key", "ids", "spans"])
+
+        hits = written(docs.select("text").mapInArrow(look, "key string, ids array<string>, spans array<long>"), "hits")
+        held.destroy()
+        out = hits if out is None else out.unionByName(hits)
+    both = out.groupBy("key").agg(F.flatten(F.collect_set("ids")).alias("ids"), F.flatten(F.collect_set("spans")).alias("spans"))
+    return written(both, "hits")
+
+
+def scan(docs: DataFrame, items: DataFrame, words: int = WORDS, part_nodes: int = PART_NODES) -> DataFrame:
     """docs(doc_id, text) x items(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items
     (sorted as strings), spans (array of start and end character offsets in the original text), in the rows of docs."""
-    spark = docs.sparkSession
     items = items.select("item_id", "text").distinct()
-    automata = list(parts_of(spark, items, words, part_bytes))
+    parts = parts_of(items, words, part_nodes)
+    one, second = next(parts), next(parts, None)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *RESULT]
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(one)
+
+        def look(batches):
+            for b in batches:
+                rows = [_result(x.as_py(), *held.value.hits(x.as_py())) for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *_columns(rows)], names=names)
+
+        return docs.select("doc_id", "text").mapInArrow(look, f"doc_id {kind}, {RESULT_DDL}")
 
-    def look(batches):
+    found = found_in(docs, itertools.chain([one, second], parts))
+    key = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    joined = docs.select("doc_id", "text", key.alias("k")).join(found, F.col("k") == F.col("key"), "left").select("doc_id", "text", "ids", "spans")
+
+    def put(batches):
         for b in batches:
-            out = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")}
-            for x in b.column(1):
-                text = x.as_py()
-                n, ids, spans = 0, set(), []
-                for a in automata:
-                    n, more, ranges = a.value.hits(text)
-                    ids |= more
-                    spans += ranges
-                if len(automata) > 1:
-                    spans = merge(spans)
-                names = sorted(str(i) for i in ids if i is not None)
-                out["n_words"].append(n)
-                out["n_hit"].append(sum(e - s for s, e in spans))
-                out["n_items"].append(len(names))
-                out["items_sha256"].append(hashlib.sha256(",".join(names).encode()).hexdigest())
-                out["contaminated"].append(bool(spans))
-                out["items"].append(names)
-                out["spans"].append([{"start": s, "end": e} for s, e in offsets(text, spans)])
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["doc_id", *out])
+            rows = []
+            for x, ids, flat in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                flat = flat or []
+                rows.append(_result(x.as_py(), len(fold(x.as_py())), ids or [], merge(list(zip(flat[::2], flat[1::2], strict=True)))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *_columns(rows)], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(look, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>")
+    return joined.mapInArrow(put, f"doc_id {kind}, {RESULT_DDL}")
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -160,23 +198,33 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 STAGE_WORDS = 10
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents -> documents without a hit word. Rows are decided one by one, inside the scan."""
-    automata = list(parts_of(spark, table(spark, sf_dir, "benchmark").select("item_id", "text").distinct(), STAGE_WORDS, PART_BYTES))
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, part_nodes: int = PART_NODES) -> DataFrame:
+    """documents -> documents without a hit word.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark keeps every row and an empty table
+    gives an empty result. Only text is looked at; columns may have any names.
+    """
+    parts = parts_of(table(spark, sf_dir, "benchmark").select("item_id", "text").distinct(), STAGE_WORDS, part_nodes)
+    one, second = next(parts), next(parts, None)
     place = docs.columns.index("text")
+    if second is None:
+        held = spark.sparkContext.broadcast(one)
 
-    def clean(batches):
-        for b in batches:
-            keep = [not any(a.value.hits(x.as_py())[2] for a in automata) for x in b.column(place)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        def clean(batches):
+            for b in batches:
+                yield b.filter(pa.array([not held.value.hits(x.as_py())[2] for x in b.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+        return docs.mapInArrow(clean, docs.schema)
+    found = found_in(docs, itertools.chain([one, second], parts)).select("key")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("k"))
+    return keyed.join(found, F.col("k") == F.col("key"), "left_anti").select("row.*")
 
 
 ORACLE_OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win FROM b, range(1, 100000) t(i) WHERE len(w) > 0 AND i <= greatest(len(w) - 9, 1)),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, (len(w) - n + 2)::BIGINT)) AS i FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT r, i, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win),

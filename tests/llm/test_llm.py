@@ -187,7 +187,7 @@ def test_decontamination(spark):
     assert docs[0][1][first["spans"][0]["start"] : first["spans"][0]["end"]] == "A-B c, d e f g h i j k"
     assert by[13, 5]["n_hit"] == 4 and by[11, 0]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     assert by[15, 3]["contaminated"] and by[15, 3]["n_items"] == 0 and not by[14, 1]["contaminated"]
-    small = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), part_bytes=40).collect()
+    small = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), part_nodes=400).collect()
     assert sorted(map(str, small)) == sorted(map(str, got))
     clean = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).collect()
     assert not any(r["contaminated"] for r in clean)
