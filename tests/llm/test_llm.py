@@ -389,7 +389,7 @@ def test_crowded_seeds_are_matched_in_their_block_and_beyond(spark):
         got = passages.repeated(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()
         assert {x.doc_id for x in got} == set(range(1, 90))
         assert all(dict(data)[x.doc_id][x.start : x.end] == dict(data)[x.other_id][x.other_start : x.other_end] == shared for x in got)
-        assert len(got) < 3 * 90 * passages.CROWD
+        assert len(got) < 3 * 90 * passages.FEW
 
 
 def decided(data, got, least=50):
