@@ -75,7 +75,7 @@ def rates(sizes: DataFrame, most: float = MOST) -> DataFrame:
     return rows.withColumn("rate", F.when(F.col("source_size") <= 0, 0.0).otherwise(F.coalesce(rate, F.lit(most)))).drop("weight", "level", "top")
 
 
-def _ranked(rows: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
+def _ranked(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """rows(source, step, u, ...) with the planned rate, p and rank of each (source, step)."""
     p = F.col("rate") - F.floor("rate")
     rows = rows.join(planned.select(F.col("source").alias("of"), F.col("step").alias("at"), "rate"), F.col("source").eqNullSafe(F.col("of")) & (F.col("step") == F.col("at")), "left").drop("of", "at")
@@ -87,12 +87,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     docs = docs.drop("source_size", "target", "copies", "taken")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")), "size"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = docs.select("source", "size", step_of(F.col("size")).alias("step"), u.alias("u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    sums = keyed.groupBy("source", "step").agg(F.sum("size").cast("long").alias("words"))
+    slim = written(keyed.select("source", "size", "step", "u"), "sizes")
+    sums = slim.groupBy("source", "step").agg(F.sum("size").cast("long").alias("words"))
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     goals = targets(sizes, weights, share, most).withColumnRenamed("source", "of")
     planned = written(rates(sums.join(goals, F.col("source").eqNullSafe(F.col("of"))).drop("of"), most), "rates")
     want = planned.groupBy("source").agg((F.first("target") - F.sum(F.floor("rate") * F.col("words"))).alias("want"))
-    ranked = _ranked(keyed.select("source", "size", "step", "u"), planned, seed).where("rank IS NOT NULL")
+    ranked = _ranked(slim, planned).where("rank IS NOT NULL")
     band = F.floor(F.col("rank") / (1 + F.col("rank")) * bands).cast("int")
     # words in each band of a source: sources x bands rows, however many documents there are
     summed = ranked.groupBy("source", band.alias("band")).agg(F.sum("size").alias("words"))

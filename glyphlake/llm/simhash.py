@@ -235,11 +235,9 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE = {"lanes": 2, "parts": 4, "radius": 4, "most": 27}
 STAGE_WORDS = 5
 SIMILARITY = 0.8
-#: Shingle hashes of a pack of texts that are compared at once, and texts of a group taken as pivots, round by round.
-PACK = 1 << 18
+#: Bytes of text of a pack of texts that are compared at once, and texts of a larger group taken as pivots, round by round.
+PACK = 1 << 21
 PIVOTS = (1, 16, 256)
-#: Groups up to this size take all their texts as pivots at once.
-FEW = 8
 
 
 def sets_of(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,89 +273,97 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _compare(most: int, least: float):
+def _compare(most: int, least: float, within: bool = False):
+    """Links of pivots with texts, or of texts of one pack: only enough of them to join all that belong together."""
+
     def each(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                (p_keys, p, p_sets), (m_keys, m, m_sets) = _unpacked(one.column(0)), _unpacked(one.column(1))
-                out_a, out_b = [], []
-                for k, key in enumerate(p_keys):
-                    for j in np.flatnonzero(np.bitwise_count(m ^ p[k]).sum(axis=1) <= most).tolist():
-                        if m_keys[j] != key and alike(p_sets[k], m_sets[j], least):
-                            out_a.append(key)
-                            out_b.append(m_keys[j])
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string())], names=["a", "b"])
+                keys, lanes, sets = _unpacked(one.column(0))
+                n = len(keys)
+                if not within:
+                    more = _unpacked(one.column(1))
+                    keys, lanes, sets = keys + more[0], np.concatenate((lanes, more[1])), sets + more[2]
+                root = np.arange(len(keys))
+                out = []
+                for k in range(n):
+                    start = k + 1 if within else n
+                    near = start + np.flatnonzero(np.bitwise_count(lanes[start:] ^ lanes[k]).sum(axis=1) <= most)
+                    for j in near.tolist():
+                        if root[j] != root[k] and (keys[j] == keys[k] or alike(sets[k], sets[j], least)):
+                            root[root == root[j]] = root[k]
+                            if keys[j] != keys[k]:
+                                out.append((keys[k], keys[j]))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["a", "b"])
 
     return each
 
 
-def verified(members: DataFrame, most: int, least: float) -> DataFrame:
-    """members(root, key, lanes array, shingles array), a row for each text of a candidate group -> (node, cluster): the
-    components of the pairs of a group within `most` bits and with at least that Jaccard similarity.
+def verified(packed: DataFrame, light: DataFrame, most: int, least: float) -> DataFrame:
+    """(node, cluster): the components of the pairs of a candidate group within `most` bits and with at least that Jaccard
+    similarity. packed(root, pack, packs, texts: array of key, lanes, shingles), light(root, key, packs, bytes).
 
-    One pivot of each group (in a group of FEW, each text) is compared with its whole group; what isn't joined to the first
-    pivot's cluster gives the next pivots, ever more of them, until each text outside that cluster has been compared with
-    all of its group. So every pair is decided, and a group of many copies of one text takes a few passes and not all its
-    pairs. A group is compared in packs that are spread over tasks.
+    A group of one pack is decided in one row. Of a larger one a pivot is compared with its whole group; what isn't joined
+    to the first pivot's cluster gives the next pivots, ever more of them, until each text outside that cluster has been
+    compared with all of its group. So every pair is decided, and a group of many copies of one text takes a few passes and
+    not all its pairs. A large group's packs are spread over tasks.
     """
-    members = written(members, "members")
-    packs = members.groupBy("root").agg((F.floor(F.sum(F.size("shingles") + 16) / PACK) + 1).cast("int").alias("packs"), F.count("*").alias("size"))
-    members = members.join(packs, "root").withColumn("pack", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
     one = F.struct("key", "lanes", "shingles")
-    packed = written(members.groupBy("root", "pack").agg(F.collect_list(one).alias("texts")), "packs")
-    light = written(members.select("root", "key", "packs", "size", F.size("shingles").alias("n")), "light")
+    edges = written(packed.where("packs = 1").select("texts").mapInArrow(_compare(most, least, True), "a string, b string"), "links")
+    light = light.where("packs > 1")
     first = light.groupBy("root").agg(F.min("key").alias("main"))
-    done, edges, found = None, None, None
+    done, found = None, components(edges).withColumnRenamed("root", "cluster")
     for turn in (*PIVOTS, None):
         if done is None:
-            open_ = light.join(first, "root").where(f"key = main OR size <= {FEW}").drop("main")
+            open_ = light.join(first, "root").where("key = main").drop("main")
         else:
-            home = light.join(found, F.col("key") == F.col("node"), "left").select("root", "key", "packs", "size", "n", F.coalesce("cluster", "key").alias("cluster"))
-            heart = home.join(first, (first["root"] == home["root"]) & (first["main"] == home["key"])).select(home["root"], home["cluster"].alias("heart"))
-            open_ = home.join(heart, "root").where(f"cluster <> heart AND size > {FEW}").select("root", "key", "packs", "n").join(done, "key", "left_anti")
-        if turn and done is not None:
-            open_ = open_.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("key"))).where(F.col("k") <= turn).drop("k")
+            home = light.join(found, F.col("key") == F.col("node"), "left").select("root", "key", "packs", "bytes", F.coalesce("cluster", "key").alias("cluster"))
+            heart = home.join(first.withColumnRenamed("root", "r"), (F.col("r") == F.col("root")) & (F.col("main") == F.col("key"))).select("root", F.col("cluster").alias("heart"))
+            open_ = home.join(heart, "root").where("cluster <> heart").select("root", "key", "packs", "bytes").join(done, "key", "left_anti")
+            if turn:
+                open_ = open_.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("key"))).where(F.col("k") <= turn).drop("k")
         # pivots travel in blocks of a bounded size to each pack of their group
-        open_ = open_.join(open_.groupBy("root").agg((F.floor(F.sum(F.col("n") + 16) / PACK) + 1).cast("int").alias("blocks")), "root")
-        pivots = written(open_.select("root", "key", "packs", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int").alias("block")), "pivots")
+        size = open_.groupBy("root").agg((F.floor(F.sum(F.col("bytes") + 64) / PACK) + 1).cast("int").alias("blocks"))
+        pivots = written(open_.join(size, "root").select("root", "key", "packs", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int").alias("block")), "pivots")
         if pivots.isEmpty():
-            break
-        blocks_ = pivots.join(members.select("key", "lanes", "shingles"), "key").groupBy("root", "packs", "block").agg(F.collect_list(one).alias("pivots"))
-        sent = blocks_.withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).join(packed, ["root", "pack"]).select("pivots", "texts")
-        links = written(sent.mapInArrow(_compare(most, least), "a string, b string"), "links")
-        edges = links if edges is None else edges.unionByName(links)
+            return found
+        texts = packed.where("packs > 1").select(F.inline("texts"))
+        blocks_ = pivots.join(texts, "key").groupBy("root", "packs", "block").agg(F.collect_list(one).alias("pivots"))
+        sent = blocks_.withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).drop("packs").join(packed, ["root", "pack"]).select("pivots", "texts")
+        edges = edges.unionByName(written(sent.mapInArrow(_compare(most, least), "a string, b string"), "links"))
         done = pivots.select("key") if done is None else done.unionByName(pivots.select("key"))
         found = components(edges).withColumnRenamed("root", "cluster")
     return found
 
 
 def clusters(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY, **how) -> DataFrame:
-    """docs(doc_id, key, text), key the same for equal texts only -> (key, first_id, cluster) for each distinct text:
+    """docs(doc_id, key, text), key the same for equal texts only -> (key, first_id, n rows, cluster) for each distinct text:
     clusters of texts linked by fingerprints and by the exact Jaccard similarity of their sets of shingles."""
     lanes, most = how["lanes"], how["most"]
     cols = [f"lane{k}" for k in range(lanes)]
-    prints = fingerprints(docs, words, lanes, True, "key").withColumn("fingerprint", name(lanes))
-    nodes = written(prints.groupBy("key", "fingerprint", *cols).agg(F.min("doc_id").alias("first_id")), "nodes")
+    sized = docs.select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "text")
+    prints = fingerprints(sized, words, lanes, True, "key", "bytes").withColumn("fingerprint", name(lanes))
+    nodes = written(prints.groupBy("key", "fingerprint", "bytes", *cols).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
     linked = groups(nodes.select(*cols).distinct(), lanes, how["radius"], how["parts"], most)
-    rooted = nodes.join(linked, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint")).drop("node")
-    rooted = written(rooted.select("key", "root", "first_id", F.array(*cols).alias("lanes")), "rooted")
-    shared = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    candidates = written(rooted.join(shared, "root", "left_semi"), "candidates")
+    # groups are candidates only: a hash names them
+    rooted = nodes.join(linked, F.col("fingerprint") == F.col("node"), "left").select("key", F.xxhash64(F.coalesce("root", "fingerprint")).alias("root"), "first_id", "n", "bytes", F.array(*cols).alias("lanes"))
+    rooted = written(rooted, "rooted")
+    shared = rooted.groupBy("root").agg(F.count("*").alias("texts"), (F.floor(F.sum(F.col("bytes") + 64) / PACK) + 1).cast("int").alias("packs")).where("texts > 1")
+    candidates = written(rooted.join(shared, "root").select("root", "packs", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int").alias("pack"), "key", "first_id", "bytes", "lanes"), "candidates")
     # the texts of candidates, one row for each
     texts = docs.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "text")
-    wanted = candidates.join(texts, (F.col("key") == F.col("k")) & F.col("first_id").eqNullSafe(F.col("d"))).select("root", "key", "lanes", "text")
+    wanted = candidates.join(texts, (F.col("key") == F.col("k")) & F.col("first_id").eqNullSafe(F.col("d"))).select("root", "pack", "packs", "key", "lanes", "text").dropDuplicates(["key"])
 
     def sets(batches):
         for b in blocks(batches, "text"):
-            h, at = sets_of(b.column(3), words)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["root", "key", "lanes", "shingles"])
+            h, at = sets_of(b.column(5), words)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["root", "pack", "packs", "key", "lanes", "shingles"])
 
-    members = wanted.mapInArrow(sets, "root string, key string, lanes array<long>, shingles array<long>").dropDuplicates(["key"])
-    found = verified(members, most, least)
-    if found is None:
-        return rooted.select("key", "first_id", F.col("key").alias("cluster"))
-    return rooted.join(found, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("cluster", "key").alias("cluster"))
+    members = wanted.mapInArrow(sets, "root long, pack int, packs int, key string, lanes array<long>, shingles array<long>")
+    packed = written(members.groupBy("root", "pack", "packs").agg(F.collect_list(F.struct("key", "lanes", "shingles")).alias("texts")), "packs")
+    found = verified(packed, candidates.select("root", "key", "packs", "bytes"), most, least)
+    return rooted.join(found, F.col("key") == F.col("node"), "left").select("key", "first_id", "n", F.coalesce("cluster", "key").alias("cluster"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -370,10 +376,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their texts. Columns may have any names. An empty table gives an empty result.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("row"), F.col("doc_id"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("key"), F.col("text"))
-    found = clusters(keyed.select("doc_id", "key", "text"), **STAGE)
-    best = found.groupBy("cluster").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("b")).select(F.col("b.key").alias("k"), F.col("b.first_id").alias("d"))
-    kept = keyed.select("row", "key", "doc_id").join(best, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    # 128 bits of SHA-256
+    digest = F.substring(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256), 1, 32)
+    keyed = docs.select(row.alias("row"), F.col("doc_id"), digest.alias("key"), F.col("text"))
+    found = written(clusters(keyed.select("doc_id", "key", "text"), **STAGE), "clusters")
+    best = found.groupBy("cluster").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("b"), F.count("*").alias("texts"))
+    # most texts have one row and no near copy: only the others are joined
+    judged = found.join(best, "cluster").where("n > 1 OR texts > 1").select(F.col("key").alias("k"), "first_id", "n", (F.col("key") == F.col("b.key")).alias("stays"))
+    judged = written(judged, "judged")
+    rows = keyed.select("row", "key", "doc_id").join(judged, F.col("key") == F.col("k"), "left")
+    alone = rows.where("k IS NULL OR (stays AND n = 1)").select("row")
+    several = rows.where(F.col("stays") & (F.col("n") > 1) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    turn = Window.partitionBy("key", "doc_id").orderBy(F.xxhash64(*plain))
-    return kept.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
+    turn = Window.partitionBy("key").orderBy(F.xxhash64(*plain))
+    return alone.unionByName(several.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row")).select("row.*")
