@@ -70,8 +70,9 @@ class EliasFano:
         place = word * 64 + octet * 8 + SELECT[octets[rows, octet].astype(np.int64) * 8 + rest]
         return place - k
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, -1 where it isn't there: a successor search among the elements with the same high part."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x, -1 where it isn't there: a successor search among the elements with the same high part, and
+        of those among the elements [begin, end)."""
         x = np.asarray(x, U64)
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
@@ -81,8 +82,10 @@ class EliasFano:
         fits = np.flatnonzero((x >> U64(self.low_bits)) <= U64(top))
         h, low = high[fits], x[fits] & U64((1 << self.low_bits) - 1)
         lo = np.where(h > 0, self.before_zero(np.maximum(h - 1, 0)), 0)
-        end = self.before_zero(h)
-        hi = end.copy()
+        stop = self.before_zero(h)
+        if begin is not None:
+            lo, stop = np.maximum(lo, begin[fits]), np.minimum(stop, end[fits])
+        hi = stop.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
@@ -91,7 +94,7 @@ class EliasFano:
             less = self.lows(mid) < low[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        inside = np.flatnonzero(lo < end)
+        inside = np.flatnonzero(lo < stop)
         hit = inside[self.lows(lo[inside]) == low[inside]]
         out[fits[hit]] = lo[hit]
         return out
@@ -128,13 +131,26 @@ def quantised(values: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.nda
     return code.astype(np.uint8), book
 
 
+def mapped(data: bytes) -> np.ndarray:
+    """Stored bytes as a memory map of a file that has no name any more: pages are read as they are searched, and nothing
+    is left when the task ends."""
+    import mmap
+    import tempfile
+
+    with tempfile.TemporaryFile() as f:
+        f.write(data)
+        f.flush()
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
+
+
 class Trie:
     """Words, their counts, and their successors with smoothed probabilities, for the words of one shard.
 
     Level 1: word hashes (Elias-Fano), exact counts, quantised mass left for the lower order, and pointers into level 2
-    (Elias-Fano). Level 2: successors as ranks in the shard's own list of successor hashes; those of a context are offset
-    by the context's place times the list's length, so the whole level is monotone and a successor search for
-    (context, word) looks inside that context only. Level 2 has quantised discounted probabilities.
+    (Elias-Fano): the running number of successors. Level 2: successors as ranks in the shard's own list of successor hashes,
+    each added to the last value of the context before, so the level is monotone. A successor search for (context, word)
+    takes the context's range from its two pointers and looks for the word's rank, made relative to that range, inside it.
+    Level 2 has quantised discounted probabilities.
     """
 
     def __init__(self, words, counts, mass, pointers, successors, level, codes, mass_book, book):
@@ -154,8 +170,12 @@ class Trie:
         codes, book = quantised((pair_counts - discount) / totals[context] if len(context) else np.zeros(0))
         known = np.unique(word)
         rank = np.searchsorted(known, word)
-        level = context.astype(np.int64) * max(len(known), 1) + rank
-        return cls(EliasFano.of(words), np.asarray(counts, np.uint32), mass, EliasFano.of(np.cumsum(kinds)), EliasFano.of(known), EliasFano.of(level), codes, mass_book, book)
+        ends = np.cumsum(kinds)
+        # each context adds its largest rank + 1 to those after it
+        most = np.zeros(len(words), np.int64)
+        most[kinds > 0] = rank[ends[kinds > 0] - 1] + 1
+        level = (np.cumsum(most) - most)[context] + rank + 1 if len(context) else np.zeros(0, np.int64)
+        return cls(EliasFano.of(words), np.asarray(counts, np.uint64), mass, EliasFano.of(ends), EliasFano.of(known), EliasFano.of(level), codes, mass_book, book)
 
     def to_bytes(self) -> bytes:
         parts = [self.words.to_bytes(), self.pointers.to_bytes(), self.successors.to_bytes(), self.level.to_bytes()]
@@ -171,7 +191,7 @@ class Trie:
             level, at = EliasFano.read(buffer, at)
             levels.append(level)
         plain = []
-        for kind, size in ((np.uint32, n), (np.float32, 256), (np.float32, 256), (np.uint8, n), (np.uint8, m)):
+        for kind, size in ((np.uint64, n), (np.float32, 256), (np.float32, 256), (np.uint8, n), (np.uint8, m)):
             plain.append(np.frombuffer(buffer, kind, size, at))
             at += plain[-1].nbytes
         counts, mass_book, book, mass, codes = plain
@@ -181,7 +201,7 @@ class Trie:
         """Counts of words, and codes of the mass they leave as contexts (0: never a context)."""
         at = self.words.find(words)
         there = at >= 0
-        count, mass = np.zeros(len(words), np.uint32), np.zeros(len(words), np.uint8)
+        count, mass = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint8)
         count[there], mass[there] = self.counts[at[there]], self.mass[at[there]]
         return count, mass
 
@@ -190,6 +210,12 @@ class Trie:
         c, w = self.words.find(context), self.successors.find(word)
         code = np.zeros(len(c), np.uint8)
         ask = np.flatnonzero((c >= 0) & (w >= 0))
-        at = self.level.find((c[ask] * max(self.successors.n, 1) + w[ask]).astype(U64))
+        c, w = c[ask], w[ask]
+        begin = np.where(c > 0, self.pointers.get(np.maximum(c - 1, 0)), U64(0)).astype(np.int64)
+        end = self.pointers.get(c).astype(np.int64)
+        base = np.zeros(len(c), U64)
+        later = np.flatnonzero(begin > 0)
+        base[later] = self.level.get(begin[later] - 1)
+        at = self.level.find(base + w.astype(U64) + U64(1), begin, end)
         code[ask[at >= 0]] = self.codes[at[at >= 0]]
         return code

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, crc_of_id, partitions, split_words, table, written
-from .eliasfano import Trie
+from .eliasfano import Trie, mapped
 
 DISCOUNT = 0.75
 BLOCK_BYTES = 12 << 20
@@ -63,11 +63,13 @@ class Block:
 
     def parts(self):
         """(shard, words, bigrams): which words and bigrams belong to each shard that has any."""
-        of_word, of_pair = np.argsort(self.shard, kind="stable"), np.argsort(self.shard[self.context], kind="stable")
-        for s in np.unique(self.shard).tolist():
-            a, b = np.searchsorted(self.shard[of_word], [s, s + 1])
-            c, d = np.searchsorted(self.shard[self.context][of_pair], [s, s + 1])
-            yield s, of_word[a:b], of_pair[c:d]
+        pair_shard = self.shard[self.context]
+        of_word, of_pair = np.argsort(self.shard, kind="stable"), np.argsort(pair_shard, kind="stable")
+        some = np.unique(self.shard)
+        word_cut = np.searchsorted(self.shard[of_word], np.append(some, some[-1] + 1))
+        pair_cut = np.searchsorted(pair_shard[of_pair], np.append(some, some[-1] + 1))
+        for k, s in enumerate(some.tolist()):
+            yield s, of_word[word_cut[k] : word_cut[k + 1]], of_pair[pair_cut[k] : pair_cut[k + 1]]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -88,7 +90,7 @@ def _unpack(data: bytes) -> tuple:
 
 def _narrow(x: np.ndarray) -> np.ndarray:
     top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
 def _numbered(batches, shards: int):
@@ -142,8 +144,9 @@ def answers(asked: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     def each(key, t):
         got = [_unpack(x.as_py()) for x in t.column("asked")]
         made = build(got, discount)
+        # the bytes that are stored are the ones that are searched, from a memory map
         stored = made.to_bytes()
-        trie = Trie.read(stored)
+        trie = Trie.read(mapped(stored))
         rows = []
         for number, mark, (words, _, context, after, which, _) in zip(t.column("block").to_pylist(), t.column("mark").to_pylist(), got, strict=True):
             count, mass = trie.look(words)
@@ -183,11 +186,14 @@ def score(docs: DataFrame, shards: int | None = None, discount: float = DISCOUNT
                 if any(p["mark"].as_py() != mark for p in got.values()):
                     raise RuntimeError("the input changed between two reads")
                 pair_shard = shard[context]
-                for s in np.unique(shard).tolist():
+                of_word, of_pair, some = np.argsort(shard, kind="stable"), np.argsort(pair_shard, kind="stable"), np.unique(shard)
+                word_cut = np.searchsorted(shard[of_word], np.append(some, some[-1] + 1))
+                pair_cut = np.searchsorted(pair_shard[of_pair], np.append(some, some[-1] + 1))
+                for k, s in enumerate(some.tolist()):
                     c, m, p, mass_book, book = _unpack(got[s]["answer"].as_py())
-                    at = np.flatnonzero(shard == s)
+                    at = of_word[word_cut[k] : word_cut[k + 1]]
                     count[at], mass[at] = c, mass_book[m]
-                    prob[np.flatnonzero(pair_shard == s)] = book[p]
+                    prob[of_pair[pair_cut[k] : pair_cut[k + 1]]] = book[p]
                 base = (count + 0.1) / rest
                 left = np.where(mass > 0, mass, 1.0)[context]
                 whole = np.log10(prob + left * base[word])[bigram]
