@@ -1,4 +1,4 @@
-"""Text columns: normalisation, Hangul jamo, rulers. Everything here stays in the JVM but `ratio` and `nfd_any`."""
+"""Text columns: normalisation, Hangul jamo, rulers. Everything here stays in the JVM but `ratio`, `nfd_any` and `nfc_strip`."""
 
 from __future__ import annotations
 
@@ -97,8 +97,7 @@ def close(read: Column, truth: Column) -> Column:
 
 def positional(read: Column, truth: Column) -> Column:
     """Share of the truth's characters met at the same place."""
-    n = F.least(F.length(read), F.length(truth))
-    hits = F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(read, i, F.lit(1)) == F.substring(truth, i, F.lit(1))))).otherwise(0)
+    hits = F.size(F.filter(F.zip_with(chars(read), chars(truth), lambda a, b: a == b), lambda same: same))
     return hits / F.greatest(F.length(truth), F.lit(1))
 
 

@@ -33,14 +33,38 @@ def roll_by(marked: DataFrame, sets: Sequence[Sequence[str]], aggregates: Sequen
     return marked.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in names]).agg(*(aggregates or rolled()))
 
 
+#: Entries of the sketch that brackets a wanted rank; the exact value is then looked for between two of them.
+SKETCH = 1000
+
+
+def at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[tuple[float, Column]]) -> DataFrame:
+    """For each key and (label q, rank from 0 as an expression of n) the value of that rank: keys, q, n, value.
+
+    A quantile sketch brackets each rank; rows below the bracket are counted and only those inside it are grouped by value
+    and summed up in order, so no window holds more than a few thousandths of a group. A value that fills a bracket (a
+    common one) is one row.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", [k / SKETCH for k in range(1, SKETCH)], 10 * SKETCH).alias("__s"))
+    asked = n.withColumn("a", F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.least(F.col("n") - 1, r).cast("long").alias("rank")) for q, r in ranks])))
+    # two entries to either side of the rank
+    at = F.floor(F.col("a.rank") / F.col("n") * SKETCH).cast("int")
+    lo = F.when(at - 2 < 1, F.col("__min")).otherwise(F.element_at("__s", F.greatest(at - 2, F.lit(1))))
+    hi = F.when(at + 3 >= SKETCH, F.col("__max")).otherwise(F.element_at("__s", F.least(at + 3, F.lit(SKETCH - 1))))
+    asked = asked.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], F.col("a.q").alias("q"), "n", F.col("a.rank").alias("rank"), lo.alias("lo"), hi.alias("hi"))
+    same = F.lit(True)
+    for j, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(F.col(f"__k{j}"))
+    # groups x ranks rows; without keys as many as ranks
+    both = rows.join(asked, same) if keys else rows.join(F.broadcast(asked))
+    band = both.where(F.col("__v") <= F.col("hi")).groupBy(*keys, "q", "n", "rank", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("value")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "q").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    return band.withColumn("upto", upto).where(F.col("value").isNotNull() & (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank"))).select(*keys, "q", "n", "value")
+
+
 def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float] = QUANTILES) -> DataFrame:
-    """For each key the value of rank min(n - 1, int(n q)) from 0, long form. Ranks by window and counts by aggregate, so no
-    group is gathered."""
-    rows = df.where(F.col(value).isNotNull())
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    asked = n.withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs]))).withColumn("rank", F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("q"))) + 1)
-    order = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    return asked.join(order.select(*keys, "rank", F.col(value).alias("value")), [*keys, "rank"]).select(*keys, "q", "n", "value")
+    """For each key the value of rank min(n - 1, int(n q)) from 0, long form."""
+    return at_ranks(df, keys, value, [(q, F.floor(F.col("n") * q)) for q in qs])
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, edges: Sequence[float] = EDGES) -> DataFrame:
@@ -72,8 +96,8 @@ def loglog(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     rows = df.where((F.col(x) > 0) & (F.col(y) > 0)).withColumns({"__x": F.ln(x), "__y": F.ln(y)})
     fit = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("__y", "__x").alias("p"), F.regr_intercept("__y", "__x").alias("i"))
     off = rows.join(fit, list(keys)).withColumn("off", F.col("__y") - F.col("i") - F.col("p") * F.col("__x"))
-    order = Window.partitionBy(*keys).orderBy("off")
-    ends = off.withColumn("r", F.row_number().over(order) - 1).groupBy(*keys).agg(F.max(F.when(F.col("r") == F.floor(F.col("n") / 10), F.exp("off"))).alias("low"), F.max(F.when(F.col("r") == F.floor(9 * F.col("n") / 10), F.exp("off"))).alias("high"))
+    found = at_ranks(off.select(*keys, "off"), keys, "off", [(0.1, F.floor(F.col("n") / 10)), (0.9, F.floor(9 * F.col("n") / 10))])
+    ends = found.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.exp("value"))).alias(name) for q, name in ((0.1, "low"), (0.9, "high"))])
     few = F.col("n") < 3
     zero = lambda c, k: F.when(few, 0.0).otherwise(F.round(c, k))
     return fit.join(ends, list(keys)).select(*keys, "n", zero(F.exp("i"), 3).alias("a"), zero(F.col("p"), 3).alias("p"), zero(F.col("low"), 2).alias("low"), zero(F.col("high"), 2).alias("high"))
@@ -90,11 +114,15 @@ def drift(quantiles: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataF
 
 def medoid(reads: DataFrame, key: str, pos: str, text: str, score) -> DataFrame:
     """The read most like the others of its group, and its mean score; the first wins ties; a lone read has trust 1.
-    reads of a group are an ensemble's, a number fixed by its members; pairs stay within the group."""
-    rows = reads.where(F.col(text) != "").select(F.col(key).alias("key"), F.col(pos).alias("pos"), F.col(text).alias("text"))
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.pos") != F.col("b.pos")), "left")
-    mean = pairs.groupBy("a.key", "a.pos", "a.text").agg(F.avg(score(F.col("a.text"), F.col("b.text"))).alias("trust"))
-    best = Window.partitionBy("key").orderBy(F.desc("trust"), "pos")
+    Equal texts of a group are scored once and counted, so a group's pairs are those of its different texts (an ensemble's
+    members are few)."""
+    rows = reads.where(F.col(text) != "").groupBy(F.col(key).alias("key"), F.col(text).alias("text")).agg(F.min(pos).alias("pos"), F.count("*").alias("times"))
+    pairs = rows.alias("a").join(rows.alias("b"), F.col("a.key") == F.col("b.key"), "left")
+    # a text meets its own other copies, not itself
+    weight = F.col("b.times") - (F.col("a.pos") == F.col("b.pos")).cast("int")
+    one = F.when(weight > 0, score(F.col("a.text"), F.col("b.text")) * weight)
+    mean = pairs.groupBy("a.key", "a.pos", "a.text").agg((F.sum(one) / F.nullif(F.sum(weight), F.lit(0))).alias("trust"))
+    best = Window.partitionBy("key").orderBy(F.round(F.coalesce("trust", F.lit(1.0)), 12).desc(), "pos")
     return mean.withColumn("r", F.row_number().over(best)).where("r = 1").select("key", "text", F.coalesce("trust", F.lit(1.0)).alias("trust"))
 
 
@@ -112,16 +140,38 @@ def bootstrap(df: DataFrame, keys: Sequence[str], value: str, draws: int = 400,
     return df.groupBy(*keys).applyInPandas(each, f"{kinds}, n long, band double")
 
 
-def poisson_band(df: DataFrame, keys: Sequence[str], value: str, row: str, draws: int = 100) -> DataFrame:
-    """The same band for groups of any size: each row counts Poisson(1) times in each of `draws` replicas, by hash."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(row), F.col("draw")), 11) + 0.5) / float(1 << 53)
-    # inverse of the Poisson(1) distribution up to 6
+#: A prime modulus of integer hashes that any SQL engine can repeat.
+PRIME = 2147483647
+
+
+def mixed(row: Column, *more) -> Column:
+    """A hash of integer columns into [0, PRIME) by integer arithmetic alone; `row` may have any size."""
+    x = F.pmod(row.cast("long"), F.lit(PRIME)) + 1
+    for m in more:
+        m = m if isinstance(m, Column) else F.lit(m)
+        x = (x * 48271 + m * 69621 + F.shiftright(x, 12)) % PRIME
+    for _ in range(3):
+        x = (x * 16807 + F.shiftright(x, 16)) % PRIME
+    return x
+
+
+def poisson_edges(most: int = 7) -> list[int]:
+    """Hash values above which a Poisson(1) count is more than 0, 1, ..."""
     edges, mass, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 8):
+    for k in range(1, most + 1):
         total += mass
-        edges.append(total)
+        edges.append(int(total * PRIME))
         mass /= k
-    times = sum([(F.col("u") > e).cast("int") for e in edges], F.lit(0))
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("times", times)
-    means = rows.groupBy(*keys, "draw").agg((F.sum(F.col(value) * F.col("times")) / F.greatest(F.sum("times"), F.lit(1))).alias("m"))
-    return means.groupBy(*keys).agg(((F.percentile("m", 0.975) - F.percentile("m", 0.025)) / 2).alias("band"))
+    return edges
+
+
+def poisson_band(df: DataFrame, keys: Sequence[str], value: str, row: str, draws: int = 40) -> DataFrame:
+    """Half-width of the middle 95 % of bootstrapped means for groups of any size: each row counts Poisson(1) times in each
+    of `draws` replicas, by a hash of row and replica. Replicas are sums added up map-side."""
+    times = sum([(F.col("__h") > e).cast("int") for e in poisson_edges()], F.lit(0))
+    rows = df.select(*keys, F.col(value).alias("__v"), F.col(row).alias("__r")).withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rows = rows.withColumn("__h", mixed(F.col("__r"), F.col("__d"))).withColumn("__t", times)
+    means = rows.groupBy(*keys, "__d").agg((F.sum(F.col("__v") * F.col("__t")) / F.greatest(F.sum("__t"), F.lit(1))).alias("__m"))
+    # draws values for each key
+    at = lambda q: F.element_at(F.array_sort(F.collect_list("__m")), int(q * (draws - 1)) + 1)
+    return means.groupBy(*keys).agg(((at(0.975) - at(0.025)) / 2).alias("band"))

@@ -31,18 +31,18 @@ def greedy_pairs(reads: DataFrame, truths: DataFrame, key: str) -> DataFrame:
 
 def leaks(items: DataFrame, tests: DataFrame, shingle: int = 5) -> DataFrame:
     """items(id, text) that hold shingles of tests(id, text): shared distinct shingles and Jaccard similarity of each pair
-    that shares any. Joined on shingles, so pairs without one never meet."""
+    that shares any. A row's distinct shingles are found and counted inside the row."""
 
     def cut(df, name):
         w = F.filter(F.split(F.lower("text"), r"[ \n]+"), lambda x: x != "")
         rows = df.select(F.col("id").alias(name), w.alias("w")).where(F.size("w") >= shingle)
-        at = F.explode(F.sequence(F.lit(1), F.size("w") - shingle + 1))
-        return rows.select(name, "w", at.alias("i")).select(name, F.array_join(F.slice("w", F.col("i"), shingle), " ").alias("s")).distinct()
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - shingle + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, shingle), " "))
+        rows = rows.select(name, F.array_distinct(each).alias("s"))
+        return rows.select(name, F.size("s").alias(f"n_{name}"), F.explode("s").alias("s"))
 
-    a, b = cut(items, "item"), cut(tests, "test")
-    sizes = lambda d, k, n: d.groupBy(k).agg(F.count("*").alias(n))
-    both = a.join(b, "s").groupBy("item", "test").agg(F.count("*").alias("shared"))
-    return both.join(sizes(a, "item", "__a"), "item").join(sizes(b, "test", "__b"), "test").select("item", "test", "shared", F.round(F.col("shared") / (F.col("__a") + F.col("__b") - F.col("shared")), 6).alias("jaccard"))
+    both = cut(items, "item").join(cut(tests, "test"), "s")
+    shared = both.groupBy("item", "test").agg(F.count("*").alias("shared"), F.first("n_item").alias("a"), F.first("n_test").alias("b"))
+    return shared.select("item", "test", "shared", F.round(F.col("shared") / (F.col("a") + F.col("b") - F.col("shared")), 6).alias("jaccard"))
 
 
 def roster(reads: DataFrame, options: DataFrame, text: str = "text", option: str = "option") -> tuple[DataFrame, DataFrame]:

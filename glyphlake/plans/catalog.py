@@ -30,10 +30,12 @@ def query(sql: str | None = None):
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of whole documents, non-ASCII folded: (doc_id, source, lang, pos, text, read), read being the one before."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split(T.ascii_fold(F.col("text")), r"[.\n]")).alias("pos", "text"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return docs.where("text <> ''").withColumn("read", F.coalesce(F.lag("text").over(w), F.lit("")))
+    """Sentences of whole documents, non-ASCII folded: (doc_id, source, lang, text, read), read being the one before, paired
+    inside the row."""
+    parts = F.filter(F.split(T.ascii_fold(F.col("text")), r"[.\n]"), lambda x: x != "")
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", parts.alias("p"))
+    before = F.concat(F.array(F.lit("")), F.col("p"))
+    return docs.select("doc_id", "source", "lang", F.inline(F.filter(F.arrays_zip(F.col("p").alias("text"), before.alias("read")), lambda x: x["text"].isNotNull())))
 
 
 _SENTENCES = r"""
@@ -107,10 +109,10 @@ def floor_quantiles(spark, d):
     return aggregate.ranked_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
 
 
-@query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value >= 0)
+@query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, min(value) AS least, max(value) FILTER (WHERE r = n // 4) AS quarter, round(median(value), 6) AS middle FROM o GROUP BY event_type""")
 def five_number_spread(spark, d):
-    rows = table(spark, d, "events").where("value >= 0")
+    rows = table(spark, d, "events")
     quarter = aggregate.ranked_quantiles(rows, ["event_type"], "value", [0.25]).select("event_type", F.col("value").alias("quarter"))
     return rows.groupBy("event_type").agg(F.min("value").alias("least"), F.round(F.percentile("value", 0.5), 6).alias("middle")).join(quarter, "event_type")
 
@@ -132,8 +134,8 @@ v AS (SELECT lang, q, n_chars AS value FROM g CROSS JOIN q WHERE r = least(n - 1
 z AS (SELECT greatest(max_by(want, q) - min_by(want, q), 0.2 * abs(max(want) FILTER (WHERE q = 0.5)), 1e-6) AS span FROM w)
 SELECT lang, round(sum(abs(value - want)) / count(*) / any_value(span), 6) AS gap, round(sum(abs(value - want)) / count(*) / any_value(span), 6) < 0.25 AS ok FROM v JOIN w USING (q) CROSS JOIN z GROUP BY lang""")
 def distribution_drift(spark, d):
-    docs = table(spark, d, "documents").select("lang", F.col("n_chars").cast("double").alias("v"), F.lit(1).alias("all"))
-    want = aggregate.ranked_quantiles(docs, ["all"], "v").select("q", "value")
+    docs = table(spark, d, "documents").select("lang", F.col("n_chars").cast("double").alias("v"))
+    want = aggregate.ranked_quantiles(docs, [], "v").select("q", "value")
     return aggregate.drift(aggregate.ranked_quantiles(docs, ["lang"], "v"), want, ["lang"]).withColumn("ok", F.col("gap") < 0.25)
 
 
@@ -274,12 +276,22 @@ def bootstrap_band(spark, d):
     return aggregate.bootstrap(table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("quality").cast("double").alias("quality")), ["lang"], "quality")
 
 
-@query()
+_STEP = "SELECT * REPLACE ((x * 16807 + (x >> 16)) % 2147483647 AS x)"
+_HASH = f"""x1 AS (SELECT *, ((o_orderkey % 2147483647 + 1) * 48271 + d * 69621 + ((o_orderkey % 2147483647 + 1) >> 12)) % 2147483647 AS x FROM (SELECT o_orderkey::BIGINT AS o_orderkey, o_orderpriority, o_totalprice FROM orders) CROSS JOIN (SELECT unnest(range(40)) AS d)),
+x2 AS ({_STEP} FROM x1), x3 AS ({_STEP} FROM x2), x4 AS ({_STEP} FROM x3)"""
+
+
+@query(f"""WITH {_HASH}, t AS (SELECT o_orderpriority, d, o_totalprice AS v, {' + '.join(f'(x > {e})::INT' for e in aggregate.poisson_edges())} AS t FROM x4),
+m AS (SELECT o_orderpriority, d, sum(v * t) / greatest(sum(t), 1) AS m FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY m) - 1 AS r FROM m)
+SELECT o_orderpriority, round((max(m) FILTER (WHERE r = 38) - max(m) FILTER (WHERE r = 0)) / 2, 4) AS band FROM r GROUP BY o_orderpriority""")
 def poisson_bootstrap_band(spark, d):
-    return aggregate.poisson_band(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", "o_orderkey")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return aggregate.poisson_band(rows, ["o_orderpriority"], "o_totalprice", "o_orderkey").select("o_orderpriority", F.round("band", 4).alias("band"))
 
 
 _VOCAB = " abcdefghijklmnopqrstuvwxyz"
+#: Letters of the vocabulary that the documents lack.
+_RARE = "ĝŭжщ가힣"
 
 
 def _vocab():
@@ -292,10 +304,10 @@ def token_encode(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("ids"), F.forall(T.chars(F.col("text")), lambda c: F.array_contains(F.map_keys(_vocab()), c)).alias("covered"))
 
 
-@query(f"WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) SELECT v AS token FROM (SELECT unnest(string_split('{_VOCAB}0123456789@', '')) AS v) WHERE v NOT IN (SELECT c FROM c)")
+@query(f"WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) SELECT v AS token FROM (SELECT unnest(string_split('{_VOCAB}0123456789@{_RARE}', '')) AS v) WHERE v NOT IN (SELECT c FROM c)")
 def token_coverage(spark, d):
-    seen = table(spark, d, "documents").select(F.explode(T.chars(F.col("text"))).alias("token")).distinct()
-    return spark.createDataFrame([(c,) for c in _VOCAB + "0123456789@"], "token string").join(seen, "token", "left_anti")
+    seen = table(spark, d, "documents").select(F.explode(F.array_distinct(T.chars(F.col("text")))).alias("token")).distinct()
+    return spark.createDataFrame([(c,) for c in _VOCAB + "0123456789@" + _RARE], "token string").join(seen, "token", "left_anti")
 
 
 @query("""WITH p AS (SELECT conv_id, turn, text AS truth, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS read FROM conversations)
@@ -349,15 +361,7 @@ def ema_fold(spark, d):
     daily = table(spark, d, "events").groupBy("event_type", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(F.avg("value").alias("v"))
     # one value a day: a list as long as the calendar
     listed = daily.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "v"))), lambda s: s["v"]).alias("v"))
-    first = F.element_at("v", 1)
-    state = F.struct(F.lit(1).alias("k"), first.alias("held"))
-
-    def step(s, x):
-        k = s["k"] + 1
-        rate = F.least(F.lit(0.9), k / (9.0 + k))
-        return F.struct(k.alias("k"), (rate * s["held"] + (1 - rate) * x).alias("held"))
-
-    return listed.select("event_type", F.round(F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), state, step)["held"], 6).alias("held"))
+    return listed.select("event_type", F.round(A.moving_average(F.col("v"), 0.9), 6).alias("held"))
 
 
 @query("SELECT o_orderkey, o_totalprice * CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS o_totalprice FROM orders")
@@ -425,15 +429,28 @@ def generated_lines(spark, d):
     return sampling.lines(spark, 20000, 2)
 
 
-@query()
+@query("""WITH b AS (SELECT (event_id // 12)::BIGINT AS page, event_id % 12 AS k, (floor(abs(value))::BIGINT % 200 + 60) AS wide FROM events)
+SELECT page, (row_number() OVER (PARTITION BY page ORDER BY k) - 1)::INT AS pos, 0 AS left, (k * 32 + 20)::INT AS top, wide::INT AS right, (k * 32 + 32)::INT AS bottom FROM b""")
 def page_segments(spark, d):
-    """Lines of pages drawn from events: a bar for each, at a place and width given by its value."""
-    h, w = 400, 320
-    bars = table(spark, d, "events").select((F.floor(F.col("event_id") / 12)).alias("page"), (F.col("event_id") % 12).alias("k"), (F.abs(F.col("value")) % 200 + 60).cast("int").alias("wide"))
-    pages = bars.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("k", "wide"))).alias("bars"))
-    row = lambda y: F.when(y % 32 >= 20, F.coalesce(F.try_element_at("bars", F.floor(y / 32)), F.lit(0))).otherwise(0)
-    pix = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda y: F.concat(F.repeat(F.lit("00"), row(y)), F.repeat(F.lit("FF"), w - row(y)))), ""))
-    return segment.lines(pages.select("page", F.lit(h).alias("h"), F.lit(w).alias("w"), pix.alias("pix")))
+    """Lines of pages drawn from events: a bar for each, at a place and width given by its value. The cut must find the
+    rectangles again."""
+    import numpy as np
+    import pandas as pd
+
+    bars = table(spark, d, "events").select(F.floor(F.col("event_id") / 12).alias("page"), F.struct((F.col("event_id") % 12).cast("int").alias("k"), (F.floor(F.abs("value")).cast("long") % 200 + 60).cast("int").alias("wide")).alias("bar"))
+    pages = bars.groupBy("page").agg(F.collect_list("bar").alias("bars"))
+
+    def draw(parts):
+        for p in parts:
+            pix = []
+            for bars in p["bars"]:
+                page = np.full((400, 320), 255, np.uint8)
+                for bar in bars:
+                    page[bar["k"] * 32 + 20 : bar["k"] * 32 + 32, : bar["wide"]] = 0
+                pix.append(page.tobytes())
+            yield pd.DataFrame({"page": p["page"], "h": 400, "w": 320, "pix": pix})
+
+    return segment.lines(pages.mapInPandas(draw, "page long, h int, w int, pix binary"))
 
 
 @query()
