@@ -459,3 +459,7 @@ def ensemble_trust(spark, d):
     cells = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("cell"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("pix"))
     readers = {"plain": lambda x: [b.decode() for b in x], "lower": lambda x: [b.decode().lower() for b in x], "cut": lambda x: [b.decode().rstrip(".") for b in x]}
     return reading.trusted(reading.read(cells, readers), _jaccard)
+
+
+# registers its queries in the tables above
+from . import rules as _rules  # noqa: E402, F401
