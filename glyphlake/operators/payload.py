@@ -43,3 +43,34 @@ def sse(rows: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
 def ollama_reply(text: Column, model: str) -> Column:
     """An empty request is answered as a load."""
     return F.to_json(F.struct(F.lit(model).alias("model"), F.coalesce(text, F.lit("")).alias("response"), F.lit(True).alias("done"), F.when(F.coalesce(text, F.lit("")) == "", "load").otherwise("stop").alias("done_reason")))
+
+
+#: The largest body that is read, and the first bytes of images.
+BODY = 64 << 20
+MAGIC = {"png": "89504E47", "jpeg": "FFD8FF", "gif": "47494638", "bmp": "424D"}
+
+
+def image_kind(body: Column) -> Column:
+    """png, jpeg, gif or bmp by the first bytes; null for anything else."""
+    head = F.hex(F.substring(body, 1, 4))
+    out = F.lit(None).cast("string")
+    for name, magic in MAGIC.items():
+        out = F.when(head.startswith(magic), name).otherwise(out)
+    return out
+
+
+def routed(requests: DataFrame, model: str, method: str = "method", path: str = "path", text: str = "text", size: str = "bytes") -> DataFrame:
+    """requests -> with status and body: static answers to GET, replies to POST by path, 404 for other paths, 413 for bodies
+    over BODY and 400 for empty ones, each error in its path's shape."""
+    m, at = F.col(method), F.col(path)
+    openai = at.startswith("/v1/")
+    models = F.to_json(F.struct(F.lit("list").alias("object"), F.array(F.struct(F.lit(model).alias("id"))).alias("data")))
+    tags = F.to_json(F.struct(F.array(F.struct(F.lit(model).alias("name"))).alias("models")))
+    get = F.when(at == "/v1/models", models).when(at == "/api/tags", tags).when(at == "/api/version", F.lit('{"version":"1"}')).when(at == "/", F.lit("ok"))
+    known = at.isin("/read", "/v1/chat/completions", "/api/chat", "/api/generate", "/api/show")
+    empty = (F.coalesce(F.col(text), F.lit("")) == "") & ~at.isin("/api/generate", "/api/show")
+    status = F.when(m == "GET", F.when(get.isNotNull(), 200).otherwise(404)).when((m != "POST") | ~known, 404).when(F.col(size) > BODY, 413).when(empty, 400).otherwise(200)
+    said = F.when(status == 404, "no such path").when(status == 413, "body too large").otherwise("no image")
+    error = F.when(openai, F.to_json(F.struct(F.struct(said.alias("message"), F.lit("invalid_request_error").alias("type")).alias("error")))).otherwise(F.to_json(F.struct(said.alias("error"))))
+    reply = F.when(openai, openai_reply(at, F.col(text), model)).when(at == "/read", F.to_json(F.struct(F.col(text).alias("text")))).otherwise(ollama_reply(F.col(text), model))
+    return requests.withColumn("status", status).withColumn("body", F.when(status != 200, error).when(m == "GET", get).otherwise(reply))

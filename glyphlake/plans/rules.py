@@ -192,9 +192,9 @@ def _pixels(spark, d):
 @query(f"""WITH {_PIX}, s AS (SELECT cell, count(*) AS total, count(*) FILTER (WHERE v < 60) AS inked, count(*) FILTER (WHERE v >= 60 AND v < 236) AS pale, min(x) FILTER (WHERE v < 60) AS l, min(y) FILTER (WHERE v < 60) AS t, max(x) FILTER (WHERE v < 60) AS r, max(y) FILTER (WHERE v < 60) AS b FROM p GROUP BY cell),
 h AS (SELECT cell, v, sum(count(*)) OVER (PARTITION BY cell ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY cell) AS n FROM p WHERE v < 60 GROUP BY cell, v),
 k AS (SELECT cell, min(v) FILTER (WHERE upto >= 0.1 * n) AS dark10, min(v) FILTER (WHERE upto >= 0.5 * n) AS mid FROM h GROUP BY cell)
-SELECT cell, round(inked / total, 6) AS ink, round(inked / ((r - l + 1) * (b - t + 1)), 6) AS density, CASE WHEN inked >= 40 THEN dark10 END AS dark10, CASE WHEN inked >= 40 THEN mid END AS mid, CASE WHEN inked >= 40 THEN round(pale / inked, 6) END AS fringe FROM s LEFT JOIN k USING (cell)""")
+SELECT cell, round(inked / total, 6) AS ink, round(inked / ((r - l + 1) * (b - t + 1)), 6) AS density, CASE WHEN inked >= 10 THEN dark10 END AS dark10, CASE WHEN inked >= 10 THEN mid END AS mid, CASE WHEN inked >= 10 THEN round(pale / inked, 6) END AS fringe FROM s LEFT JOIN k USING (cell)""")
 def cell_facts(spark, d):
-    out = pixels.facts(_pixels(spark, d), 60)
+    out = pixels.facts(_pixels(spark, d), 60, least=10)
     return out.select("cell", *[F.round(c, 6).alias(c) for c in ("ink", "density")], "dark10", "mid", F.round("fringe", 6).alias("fringe"))
 
 
