@@ -2,6 +2,10 @@
 
 quality (rejected documents go) -> SimHash near-dedup (one of each group stays) -> benchmark decontamination -> mixing to
 target weights -> sharding. All but the last return the columns of documents.
+
+Nulls, empties, ties: each stage states its own. An empty documents table gives an empty result; null and empty texts are
+scored like any other, count as one group of near copies, hold no benchmark passage and have no words to mix. Columns of
+documents keep their names and values through all stages; the last adds shard and slot.
 """
 
 from __future__ import annotations
