@@ -347,29 +347,6 @@ def test_passages(spark):
     assert passages.repeated(df.limit(0)).collect() == []
 
 
-def test_chains_are_best():
-    rng = random.Random(3)
-    for _ in range(40):
-        a = np.array(sorted((rng.randrange(60), rng.randrange(60), rng.randint(1, 6)) for _ in range(7)))
-        best = max(passages_score(a, s) for s in subsets(len(a)))
-        top = max(passages_score(a, [a.tolist().index(x) for x in c.tolist()]) for c in passages.chains_of(a, 0.25, 1000))
-        assert top <= best + 1e-9 and top >= 0.7 * best
-
-
-def subsets(n):
-    return [[k for k in range(n) if m >> k & 1] for m in range(1, 1 << n)]
-
-
-def passages_score(a, chosen):
-    total = float(a[chosen[0], 2])
-    for p, q in zip(chosen, chosen[1:], strict=False):
-        if not (a[p, 0] < a[q, 0] and a[p, 1] < a[q, 1]):
-            return -math.inf
-        dx, dy = a[q, 0] - a[p, 0] - a[p, 2], a[q, 1] - a[p, 1] - a[p, 2]
-        total += a[q, 2] - max(0, -min(dx, dy)) - 0.25 * (max(dx, 0) + max(dy, 0))
-    return total
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
