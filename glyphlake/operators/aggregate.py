@@ -155,6 +155,16 @@ def mixed(row: Column, *more) -> Column:
     return x
 
 
+def hashes(row: Column, n: int) -> Column:
+    """mixed(row, 0), ..., mixed(row, n - 1) as one array. Steps are lambdas, so an expression isn't written out again for
+    each use of its value."""
+    start = F.pmod(row.cast("long"), F.lit(PRIME)) + 1
+    out = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda k: (start * 48271 + k * 69621 + F.shiftright(start, 12)) % PRIME)
+    for _ in range(3):
+        out = F.transform(out, lambda x: (x * 16807 + F.shiftright(x, 16)) % PRIME)
+    return out
+
+
 def poisson_edges(most: int = 7) -> list[int]:
     """Hash values above which a Poisson(1) count is more than 0, 1, ..."""
     edges, mass, total = [], 0.36787944117144233, 0.0

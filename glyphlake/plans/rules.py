@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import pixels, rules
+from ..operators import pixels, rules, sampling
 from ..session import table
 from .catalog import query
 
@@ -216,3 +216,47 @@ def blob_width(spark, d):
 w AS (SELECT cell, count(*) AS area, count(b.hit) AS eaten, max(y) - min(y) + 1 AS tall FROM (SELECT * FROM p WHERE v < 128) p LEFT JOIN b USING (cell, y, x) GROUP BY cell) SELECT cell, round(CASE WHEN eaten = 0 THEN 0 ELSE 2 * area / eaten / tall END, 6) AS stroke FROM w""")
 def stroke_thickness(spark, d):
     return pixels.strokes(_pixels(spark, d)).select("cell", F.round("stroke", 6).alias("stroke"))
+
+
+def _hashes(n: int, row: str) -> str:
+    """SQL list of n integer hashes of a row number: those of aggregate.mixed."""
+    step = lambda e: f"list_transform({e}, lambda x: (x * 16807 + (x >> 16)) % 2147483647)"
+    return step(step(step(f"list_transform(range({n}), lambda k: (({row} % 2147483647 + 1) * 48271 + k * 69621 + (({row} % 2147483647 + 1) >> 12)) % 2147483647)")))
+
+
+def _one(options, k: int) -> str:
+    return f"{list(options)!r}[h[{k + 1}] % {len(options)} + 1]"
+
+
+def _digits(k: int, lo: int, hi: int, width: int) -> str:
+    return f"lpad((h[{k + 1}] % {hi - lo + 1} + {lo})::VARCHAR, {width}, '0')"
+
+
+_MADE = f"{_one(sampling.HEADS, 2)}, {_one(sampling.TAILS, 3)}"
+_VALUE = f"""CASE kind WHEN 'name' THEN concat({_MADE}, {_one(sampling.TAILS, 4)}) WHEN 'org' THEN concat({_MADE}, {_one(sampling.UNITS, 4)})
+ WHEN 'doc' THEN concat({_one(sampling.PAPERS, 4)}, ' ', {_digits(5, 1, 9999, 4)}, '-', {_digits(6, 1, 99, 2)})
+ WHEN 'date' THEN concat({_digits(4, 2001, 2030, 4)}, '-', {_digits(5, 1, 12, 2)}, '-', {_digits(6, 1, 28, 2)})
+ WHEN 'slot' THEN concat({_digits(4, 0, 23, 2)}, ':', {_digits(5, 0, 59, 2)}, '~', {_digits(6, 0, 23, 2)}, ':', {_digits(7, 0, 59, 2)})
+ WHEN 'latin' THEN concat({_one(sampling.LATIN, 4)}, {_one(sampling.ENDS, 5)}, ' ', {_digits(6, 1, 99, 2)})
+ ELSE concat({_MADE}, '에서 ', {_one(sampling.HEADS, 4)}, {_one(sampling.TAILS, 5)}, '과 ', {_one(sampling.HEADS, 6)}, {_one(sampling.TAILS, 7)}, ' ', {_one(sampling.PAPERS, 8)}, '를 함께 읽는다.') END"""
+
+
+@query(f"""WITH n AS (SELECT pos, {_hashes(sampling.CHOICES, 'pos')} AS h FROM (SELECT unnest(range(20000))::BIGINT AS pos)),
+k AS (SELECT *, {_one(sampling.VALUES, 1)} AS kind FROM n), v AS (SELECT *, {_VALUE} AS v FROM k),
+l AS (SELECT *, CASE WHEN kind = 'sentence' THEN v ELSE concat({_one(sampling.FIELDS, 9)}, {_one(sampling.BETWEEN, 10)}, v) END AS line, h[12] % 16 AS mark FROM v)
+SELECT pos, kind, CASE mark WHEN 0 THEN concat('(', line, ')') WHEN 1 THEN concat(line, '!') WHEN 2 THEN concat('- ', line) ELSE line END AS text FROM l""")
+def generated_forms(spark, d):
+    return sampling.forms(spark, 20000)
+
+
+@query(f"""WITH f AS (SELECT list({{'font': 'f' || i, 'm': i + 2, 'full': i > 5}} ORDER BY i) AS fonts FROM (SELECT unnest(range(9)) AS i)),
+l AS (SELECT p_partkey AS pos, p_partkey % 60 AS need, {_hashes(7, 'p_partkey::BIGINT')} AS h FROM part),
+r AS (SELECT pos, h, fonts, list_filter(list_transform(h[1:6], lambda x: fonts[x % 9 + 1]), lambda f: need % f.m = 0) AS tried, list_filter(fonts, lambda f: f.full) AS base, list_filter(fonts, lambda f: f.full AND need % f.m = 0) AS able, need FROM l CROSS JOIN f),
+c AS (SELECT pos, need, CASE WHEN len(tried) > 0 THEN tried[1] WHEN len(able) > 0 THEN able[h[7] % len(able) + 1] ELSE base[h[7] % len(base) + 1] END AS f FROM r)
+SELECT pos, f.font AS font, need % f.m = 0 AS covered FROM c""")
+def coverage_pick(spark, d):
+    """A part needs one letter; font i draws the letters that i + 2 divides."""
+    letters = F.array(*[F.lit(k) for k in range(60)])
+    fonts = spark.range(9).select(F.concat(F.lit("f"), "id").alias("font"), F.filter(letters, lambda k: k % (F.col("id") + 2) == 0).alias("glyphs"), (F.col("id") > 5).alias("full"))
+    lines = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.array((F.col("p_partkey") % 60).cast("int")).alias("chars"))
+    return sampling.covered_pick(lines, fonts)
