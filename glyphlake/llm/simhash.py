@@ -236,7 +236,7 @@ STAGE = {"lanes": 2, "parts": 4, "radius": 4, "most": 27}
 STAGE_WORDS = 5
 SIMILARITY = 0.8
 #: Bytes of text of a pack of texts that are compared at once, and texts of a larger group taken as pivots, round by round.
-PACK = 1 << 21
+PACK = 1 << 23
 PIVOTS = (1, 16, 256)
 
 
@@ -338,22 +338,26 @@ def verified(packed: DataFrame, light: DataFrame, most: int, least: float) -> Da
 
 
 def clusters(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARITY, **how) -> DataFrame:
-    """docs(doc_id, key, text), key the same for equal texts only -> (key, first_id, n rows, cluster) for each distinct text:
+    """docs(doc_id, key, text), key the same for equal texts only -> (key, first_id, m rows with that id, n rows, cluster) for each distinct text:
     clusters of texts linked by fingerprints and by the exact Jaccard similarity of their sets of shingles."""
     lanes, most = how["lanes"], how["most"]
     cols = [f"lane{k}" for k in range(lanes)]
     sized = docs.select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "text")
     prints = fingerprints(sized, words, lanes, True, "key", "bytes").withColumn("fingerprint", name(lanes))
-    nodes = written(prints.groupBy("key", "fingerprint", "bytes", *cols).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
+    each = prints.groupBy("key", "fingerprint", "bytes", *cols, "doc_id").agg(F.count("*").alias("m"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "m"))
+    nodes = each.groupBy("key", "fingerprint", "bytes", *cols).agg(first.alias("f"), F.sum("m").alias("n"))
+    nodes = written(nodes.select("key", "fingerprint", "bytes", *cols, F.col("f.doc_id").alias("first_id"), F.col("f.m").alias("m"), "n"), "nodes")
     linked = groups(nodes.select(*cols).distinct(), lanes, how["radius"], how["parts"], most)
     # groups are candidates only: a hash names them
-    rooted = nodes.join(linked, F.col("fingerprint") == F.col("node"), "left").select("key", F.xxhash64(F.coalesce("root", "fingerprint")).alias("root"), "first_id", "n", "bytes", F.array(*cols).alias("lanes"))
+    rooted = nodes.join(linked, F.col("fingerprint") == F.col("node"), "left").select("key", F.xxhash64(F.coalesce("root", "fingerprint")).alias("root"), "first_id", "m", "n", "bytes", F.array(*cols).alias("lanes"))
     rooted = written(rooted, "rooted")
     shared = rooted.groupBy("root").agg(F.count("*").alias("texts"), (F.floor(F.sum(F.col("bytes") + 64) / PACK) + 1).cast("int").alias("packs")).where("texts > 1")
     candidates = written(rooted.join(shared, "root").select("root", "packs", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int").alias("pack"), "key", "first_id", "bytes", "lanes"), "candidates")
     # the texts of candidates, one row for each
     texts = docs.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "text")
-    wanted = candidates.join(texts, (F.col("key") == F.col("k")) & F.col("first_id").eqNullSafe(F.col("d"))).select("root", "pack", "packs", "key", "lanes", "text").dropDuplicates(["key"])
+    # candidates grow with the input, so they are never broadcast
+    wanted = candidates.hint("merge").join(texts, (F.col("key") == F.col("k")) & F.col("first_id").eqNullSafe(F.col("d"))).select("root", "pack", "packs", "key", "lanes", "text").dropDuplicates(["key"])
 
     def sets(batches):
         for b in blocks(batches, "text"):
@@ -363,7 +367,7 @@ def clusters(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARIT
     members = wanted.mapInArrow(sets, "root long, pack int, packs int, key string, lanes array<long>, shingles array<long>")
     packed = written(members.groupBy("root", "pack", "packs").agg(F.collect_list(F.struct("key", "lanes", "shingles")).alias("texts")), "packs")
     found = verified(packed, candidates.select("root", "key", "packs", "bytes"), most, least)
-    return rooted.join(found, F.col("key") == F.col("node"), "left").select("key", "first_id", "n", F.coalesce("cluster", "key").alias("cluster"))
+    return rooted.join(found, F.col("key") == F.col("node"), "left").select("key", "first_id", "m", "n", F.coalesce("cluster", "key").alias("cluster"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -382,11 +386,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(clusters(keyed.select("doc_id", "key", "text"), **STAGE), "clusters")
     best = found.groupBy("cluster").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("b"), F.count("*").alias("texts"))
     # most texts have one row and no near copy: only the others are joined
-    judged = found.join(best, "cluster").where("n > 1 OR texts > 1").select(F.col("key").alias("k"), "first_id", "n", (F.col("key") == F.col("b.key")).alias("stays"))
+    judged = found.join(best, "cluster").where("n > 1 OR texts > 1").select(F.col("key").alias("k"), "first_id", "m", "n", (F.col("key") == F.col("b.key")).alias("stays"))
     judged = written(judged, "judged")
-    rows = keyed.select("row", "key", "doc_id").join(judged, F.col("key") == F.col("k"), "left")
-    alone = rows.where("k IS NULL OR (stays AND n = 1)").select("row")
-    several = rows.where(F.col("stays") & (F.col("n") > 1) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    turn = Window.partitionBy("key").orderBy(F.xxhash64(*plain))
-    return alone.unionByName(several.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row")).select("row.*")
+    rows = keyed.select("row", "key", "doc_id").join(judged.hint("merge"), F.col("key") == F.col("k"), "left")
+    mine = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    kept = rows.where(F.col("k").isNull() | (mine & (F.col("m") == 1))).select("row")
+    if not judged.where("stays AND m > 1").isEmpty():
+        # rows that repeat both id and text: one of them
+        plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        turn = Window.partitionBy("key").orderBy(F.xxhash64(*plain))
+        several = rows.where(mine & (F.col("m") > 1)).withColumn("turn", F.row_number().over(turn)).where("turn = 1")
+        kept = kept.unionByName(several.select("row"))
+    return kept.select("row.*")
