@@ -7,8 +7,8 @@
 4. Raw scores of the fitting rows are counted in BINS equal-width bins by a Spark aggregate, and pool-adjacent-violators
    on the bins gives a monotone calibration, interpolated between blocks and kept in [0, 1].
 
-Every labelled row outside the held-out part is used. Nulls, empties, ties: a null text counts as an empty one, and an
-empty text is scored like any other; a null doc_id has checksum 0; rows labelled null, or not 0 or 1, aren't fitted;
+Every labelled row outside the held-out part is used; the pipeline's stage uses those of about STAGE_LABELS ids.
+Nulls, empties, ties: a null text counts as an empty one, and an empty text is scored like any other; a null doc_id has checksum 0; rows labelled null, or not 0 or 1, aren't fitted;
 repeated rows count as often as they occur; an id with two labels is fitted with each. With no labelled row every score is
 0.5. An empty table gives an empty result.
 """
@@ -221,11 +221,18 @@ def op8_quality_rff_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(stats, model).select("doc_id", (crc_of_id(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", "predicted")
 
 
+#: Labelled ids that the pipeline's stage fits on, about: of more, so many are drawn by a hash of the id.
+STAGE_LABELS = 1 << 17
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents -> documents predicted to be of quality 1. Fits on the labelled ones among docs."""
-    labels = table(spark, sf_dir, "labels").where("quality in (0, 1)").select("doc_id", "quality")
-    wanted = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    held = spark.sparkContext.broadcast(train(statistics(wanted), labels))
+    """documents -> documents predicted to be of quality 1. Fits on the labelled ones among docs, outside the held-out part:
+    on about STAGE_LABELS ids if labels has more, so that ids are broadcast with a bound and texts aren't shuffled."""
+    labels = table(spark, sf_dir, "labels").where("quality in (0, 1)").where(crc_of_id(F.col("doc_id")) % 3 != 1).select("doc_id", "quality")
+    ids = labels.select("doc_id").distinct()
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(max(ids.count(), STAGE_LABELS))) < STAGE_LABELS
+    wanted = docs.join(F.broadcast(ids.where(drawn)), "doc_id", "left_semi").select("doc_id", "text")
+    held = spark.sparkContext.broadcast(train(statistics(wanted), labels.where(drawn)))
     place = docs.columns.index("text")
 
     def good(batches):

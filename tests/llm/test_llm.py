@@ -210,6 +210,17 @@ def test_quality(spark):
     assert 700 < out.count() < 1000
 
 
+def test_quality_stage_draws_labels(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id").quality
+    whole = {r.doc_id for r in quality.stage(spark, docs, sf).select("doc_id").collect()}
+    monkeypatch.setattr(quality, "STAGE_LABELS", 150)
+    drawn = {r.doc_id for r in quality.stage(spark, docs, sf).select("doc_id").collect()}
+    assert len(whole ^ drawn) < 0.05 * docs.count()
+    assert np.mean([(i in drawn) == (q == 1) for i, q in labels.items()]) > 0.9
+
+
 def test_extraction():
     chain = extract.trained()
     held = extract.labelled(range(20000, 20150))
