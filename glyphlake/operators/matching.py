@@ -33,11 +33,16 @@ def leaks(items: DataFrame, tests: DataFrame, shingle: int = 5) -> DataFrame:
     """items(id, text) that hold shingles of tests(id, text): shared distinct shingles and Jaccard similarity of each pair
     that shares any. A row's distinct shingles are found and counted inside the row."""
 
+    def held(c):
+        # behind a generator, so that the optimizer doesn't put the expression where its name stands: that would split the
+        # whole text again for every shingle
+        return F.explode(F.array(c))
+
     def cut(df, name):
-        w = F.filter(F.split(F.lower("text"), r"[ \n]+"), lambda x: x != "")
-        rows = df.select(F.col("id").alias(name), w.alias("w")).where(F.size("w") >= shingle)
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - shingle + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, shingle), " "))
-        rows = rows.select(name, F.array_distinct(each).alias("s"))
+        words = F.filter(F.split(F.lower("text"), r"[ \n]+"), lambda x: x != "")
+        rows = df.select(F.col("id").alias(name), held(words).alias("w")).where(F.size("w") >= shingle)
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - shingle + 1), lambda i: F.array_join(F.slice("w", i, shingle), " "))
+        rows = rows.select(name, held(F.array_distinct(each)).alias("s"))
         return rows.select(name, F.size("s").alias(f"n_{name}"), F.explode("s").alias("s"))
 
     both = cut(items, "item").join(cut(tests, "test"), "s")

@@ -6,7 +6,7 @@ is one row; pages are independent, so work spreads over rows. Nulls and empties:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -173,6 +173,21 @@ def lines(pages: DataFrame, most: int | None = None) -> DataFrame:
     return pages.select("page", "h", "w", "pix").mapInPandas(each, f"page {kind}, pos int, left int, top int, right int, bottom int")
 
 
+def drawn_lines(pages: DataFrame, column: str, draw: Callable[[list], np.ndarray], most: int | None = None) -> DataFrame:
+    """pages(page, `column`) -> page, pos, left, top, right, bottom: `draw` makes a page of that column and the bare cut
+    finds its boxes. A page is drawn and cut before the next, so a task holds one. What describes a page is small and would
+    be gathered in few tasks, so pages are dealt out anew."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(page, k, *box) for page, what in zip(p["page"], p[column], strict=True) for k, box in enumerate(boxes(draw(what))[:most])]
+            yield pd.DataFrame(rows, columns=["page", "pos", "left", "top", "right", "bottom"])
+
+    kind = pages.schema["page"].dataType.simpleString()
+    dealt = pages.select("page", column).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
+    return dealt.mapInPandas(each, f"page {kind}, pos int, left int, top int, right int, bottom int")
+
+
 def writing(pages: DataFrame, most: int | None = 12, pad: int = 6) -> DataFrame:
     """pages(page, h, w, pix) -> page, pos, row, left, top, right, bottom, pix of each line of writing (its pixels, cropped)."""
 

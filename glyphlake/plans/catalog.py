@@ -435,22 +435,17 @@ def page_segments(spark, d):
     """Lines of pages drawn from events: a bar for each, at a place and width given by its value. The cut must find the
     rectangles again."""
     import numpy as np
-    import pandas as pd
 
     bars = table(spark, d, "events").select(F.floor(F.col("event_id") / 12).alias("page"), F.struct((F.col("event_id") % 12).cast("int").alias("k"), (F.floor(F.abs("value")).cast("long") % 200 + 60).cast("int").alias("wide")).alias("bar"))
     pages = bars.groupBy("page").agg(F.collect_list("bar").alias("bars"))
 
-    def draw(parts):
-        for p in parts:
-            pix = []
-            for bars in p["bars"]:
-                page = np.full((400, 320), 255, np.uint8)
-                for bar in bars:
-                    page[bar["k"] * 32 + 20 : bar["k"] * 32 + 32, : bar["wide"]] = 0
-                pix.append(page.tobytes())
-            yield pd.DataFrame({"page": p["page"], "h": 400, "w": 320, "pix": pix})
-
-    return segment.lines(pages.mapInPandas(draw, "page long, h int, w int, pix binary"))
+    def draw(bars):
+        page = np.full((400, 320), 255, np.uint8)
+        for bar in bars:
+            page[bar["k"] * 32 + 20 : bar["k"] * 32 + 32, : bar["wide"]] = 0
+        return page
+
+    return segment.drawn_lines(pages, "bars", draw)
 
 
 @query()
