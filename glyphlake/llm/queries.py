@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, extract, lm, mixing, neighbours, passages, quality, sharding, simhash, warc
+from . import audit, chosen, codes, decontaminate, extract, lm, mixing, neighbours, passages, quality, sharding, simhash, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,11 +19,17 @@ QUERIES = {
         quality.op8_quality_rff_ridge,
         warc.op9_content_addressed_warc,
         mixing.op10_pareto_mix,
+        audit.op11_filter_interaction_audit,
+        codes.op12_vector_codes,
+        chosen.op13_chosen_path_near_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {
     "op5_benchmark_decontamination": decontaminate.ORACLE_OP5,
     "op7_vantage_point_neighbours": neighbours.ORACLE_OP7,
+    "op11_filter_interaction_audit": audit.ORACLE_OP11,
+    "op12_vector_codes": codes.ORACLE_OP12,
+    "op13_chosen_path_near_dedup": chosen.ORACLE_OP13,
     "op9_content_addressed_warc": warc.ORACLE_OP9,
 }

@@ -352,6 +352,13 @@ def clusters(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARIT
     # groups are candidates only: a hash names them
     rooted = nodes.join(linked, F.col("fingerprint") == F.col("node"), "left").select("key", F.xxhash64(F.coalesce("root", "fingerprint")).alias("root"), "first_id", "m", "n", "bytes", F.array(*cols).alias("lanes"))
     rooted = written(rooted, "rooted")
+    found = decided(rooted, docs, words, most, least)
+    return rooted.join(found, F.col("key") == F.col("node"), "left").select("key", "first_id", "m", "n", F.coalesce("cluster", "key").alias("cluster"))
+
+
+def decided(rooted: DataFrame, docs: DataFrame, words: int, most: int, least: float) -> DataFrame:
+    """(node, cluster) for texts with a link: rooted(key, root, first_id, bytes, lanes) names each text's candidate group by
+    root, docs(doc_id, key, text) has the texts; see `verified`."""
     shared = rooted.groupBy("root").agg(F.count("*").alias("texts"), (F.floor(F.sum(F.col("bytes") + 64) / PACK) + 1).cast("int").alias("packs")).where("texts > 1")
     candidates = written(rooted.join(shared, "root").select("root", "packs", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int").alias("pack"), "key", "first_id", "bytes", "lanes"), "candidates")
     # the texts of candidates, one row for each
@@ -366,8 +373,7 @@ def clusters(docs: DataFrame, words: int = STAGE_WORDS, least: float = SIMILARIT
 
     members = wanted.mapInArrow(sets, "root long, pack int, packs int, key string, lanes array<long>, shingles array<long>")
     packed = written(members.groupBy("root", "pack", "packs").agg(F.collect_list(F.struct("key", "lanes", "shingles")).alias("texts")), "packs")
-    found = verified(packed, candidates.select("root", "key", "packs", "bytes"), most, least)
-    return rooted.join(found, F.col("key") == F.col("node"), "left").select("key", "first_id", "m", "n", F.coalesce("cluster", "key").alias("cluster"))
+    return verified(packed, candidates.select("root", "key", "packs", "bytes"), most, least)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,9 +27,9 @@ def shingles(text, n=5):
     return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def closure(texts, least=0.8):
+def closure(texts, least=0.8, n=5):
     """Smallest index of each text's cluster, by all pairs."""
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    sets, root = [shingles(t, n) for t in texts], list(range(len(texts)))
 
     def find(i):
         while root[i] != i:
