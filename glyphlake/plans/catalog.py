@@ -457,4 +457,4 @@ def ensemble_trust(spark, d):
 
 
 # registers its queries in the tables above
-from . import rules as _rules  # noqa: E402, F401
+from . import rules as _rules, shapes as _shapes  # noqa: E402, F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +20,26 @@ def session(app: str = "glyphlake", master: str | None = None, **conf: str) -> S
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_local: dict[str, str] = {}
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only for a local master without that setting."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        _local[app] = tempfile.mkdtemp(prefix="glyphlake-")
+    return _local[app]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of the shared folder: its lineage ends there, and a lost executor doesn't change it."""
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
