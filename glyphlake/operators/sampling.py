@@ -1,13 +1,12 @@
-"""Splits, error-weighted picks and a seeded line generator."""
+"""Splits, error-weighted picks and generated forms."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from .sequence import cumulative
 
 
@@ -59,43 +58,6 @@ def pick(options: Sequence, u: Column, weights: Sequence[float] | None = None) -
     return last if out is None else out.otherwise(last)
 
 
-#: Invented words for generated lines, and the weights of line shapes.
-LABELS = ("Team", "Date", "Name", "Form", "Item", "Place")
-SHAPES = {"syllables": 0.34, "form": 0.34, "title": 0.21, "sentence": 0.08, "digits": 0.03}
-SEPARATORS = {" : ": 0.56, ":": 0.10, " ": 0.20, " - ": 0.10, "; ": 0.04}
-
-
-def lines(spark: SparkSession, count: int, seed: int = 0) -> DataFrame:
-    """`count` generated lines (pos, shape, text): every choice hashes the seed and the row, so partitions don't matter."""
-    u = lambda *k: uniform(seed, F.col("pos"), *k)
-
-    def one(tag, at):
-        n = lambda k, top: F.floor(uniform(seed, F.col("pos"), F.lit(tag), at, F.lit(k)) * top).cast("int")
-        tail = F.when(uniform(seed, F.col("pos"), F.lit(tag), at, F.lit("t")) < 0.5, 0).otherwise(n("tail", 28))
-        return T.syllable(n("head", 19), n("mid", 21), tail)
-
-    def made(tag, lo, hi):
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.floor(u(tag, "n") * (hi - lo + 1)).cast("int") + lo), lambda i: one(tag, i)), "")
-
-    number = lambda k, lo, hi: (F.floor(u(k) * (hi - lo + 1)) + lo).cast("int")
-    date = pick([F.format_string("%d-%02d-%02d", number("y", 2019, 2030), number("m", 1, 12), number("d", 1, 28)), F.format_string("%d.%02d.%02d", number("y", 2019, 2030), number("m", 1, 12), number("d", 1, 28)), F.format_string("%d년 %d월 %d일", number("y", 2019, 2030), number("m", 1, 12), number("d", 1, 28))], u("date"), [0.4, 0.3, 0.3])
-    value = pick([made("v", 2, 4), date, F.concat(made("w", 1, 1), made("x", 2, 3))], u("value"), [0.5, 0.2, 0.3])
-    shapes = {
-        "syllables": made("s", 2, 8),
-        "form": F.concat(pick(LABELS, u("label")), pick(list(SEPARATORS), u("sep"), list(SEPARATORS.values())), value),
-        "title": F.concat(made("t", 2, 4), F.lit(" "), made("u", 2, 5)),
-        "sentence": F.concat(made("a", 2, 3), F.lit(" "), made("b", 2, 5), F.lit(" "), made("c", 2, 4), F.lit(".")),
-        "digits": F.format_string("%d-%04d", number("g", 10, 999), number("h", 0, 9999)),
-    }
-    rows = spark.range(count).withColumnRenamed("id", "pos").withColumn("shape", pick(list(SHAPES), u("shape"), list(SHAPES.values())))
-    text = None
-    for k, v in shapes.items():
-        text = F.when(F.col("shape") == k, v) if text is None else text.when(F.col("shape") == k, v)
-    plain = rows.withColumn("text", text)
-    marked = pick([F.concat(F.lit("("), F.col("text"), F.lit(")")), F.concat(F.col("text"), F.lit("!")), F.concat(F.lit("- "), F.col("text")), F.col("text")], u("mark"), [0.04, 0.06, 0.02, 0.88])
-    return plain.withColumn("text", marked).where(T.drawable(F.col("text")))
-
-
 #: Invented words for generated forms; every choice is a hash of the line's number, so any engine can repeat it.
 HEADS = ("바", "도", "라", "미", "소", "하", "온", "별")
 TAILS = ("람", "담", "솔", "진", "울", "빛", "나", "결")
@@ -110,14 +72,14 @@ VALUES = ("name", "name", "name", "org", "org", "org", "doc", "doc", "doc", "dat
 CHOICES = 16
 
 
-def forms(spark: SparkSession, count: int) -> DataFrame:
-    """`count` generated lines (pos, kind, text): a field, a separator and a value (a made name, a unit, a paper with its number, a
+def forms(keys: DataFrame, key: str) -> DataFrame:
+    """A generated line (pos, kind, text) for each integer key: a field, a separator and a value (a made name, a unit, a paper with its number, a
     date, a time slot, a latin word or a long sentence), some of them in brackets or with a mark. The words hold no undrawable
     character."""
     from .aggregate import hashes
 
     # exploded, so that the hashes are computed once and not inside every choice
-    rows = spark.range(count).select(F.col("id").alias("pos"), F.explode(F.array(hashes(F.col("id"), CHOICES))).alias("h"))
+    rows = keys.select(F.col(key).alias("pos"), F.explode(F.array(hashes(F.col(key), CHOICES))).alias("h"))
     n = lambda k, top: (F.element_at("h", k + 1) % top).cast("int")
     one = lambda options, k: F.element_at(F.array(*[F.lit(o) for o in options]), n(k, len(options)) + 1)
     made = F.concat(one(HEADS, 2), one(TAILS, 3))

@@ -407,11 +407,12 @@ def line_filters(spark, d):
     return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.count(F.when(T.drawable(F.col("line")), 1)).alias("drawable"), F.count(F.when(T.bare_jamo(F.col("line")), 1)).alias("bare"))
 
 
-@query("SELECT code::INT AS code, chr(code::INT) AS syllable, CASE WHEN (code - 44032) % 28 = 0 THEN 2 ELSE 3 END AS jamo FROM (SELECT unnest(range(44032, 55204)) AS code)")
+@query("SELECT o_orderkey, chr((44032 + n)::INT) AS syllable, CASE WHEN n % 28 = 0 THEN 2 ELSE 3 END AS jamo FROM (SELECT o_orderkey, o_orderkey * 7919 % 11172 AS n FROM orders)")
 def hangul_compose(spark, d):
-    n = spark.range(T.S_COUNT).select(F.col("id").cast("int").alias("n"))
+    """A syllable for each order: its parts come from the key."""
+    n = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % T.S_COUNT).cast("int").alias("n"))
     whole = T.syllable(F.floor(F.col("n") / 588), F.floor((F.col("n") % 588) / 28), F.col("n") % 28)
-    return n.select((F.col("n") + T.S_BASE).alias("code"), whole.alias("syllable"), F.length(T.nfd_hangul(whole)).alias("jamo"))
+    return n.select("o_orderkey", whole.alias("syllable"), F.length(T.nfd_hangul(whole)).alias("jamo"))
 
 
 @query("""WITH t AS (SELECT l_returnflag AS side, l_linenumber AS batch, median(l_extendedprice) AS per_line FROM lineitem GROUP BY ALL), p AS (SELECT unnest(range(1, 11)) AS lines)
@@ -424,11 +425,6 @@ def page_cost(spark, d):
     return near.select("side", "lines", "batch", F.round(F.col("per_line") * F.col("lines"), 4).alias("page_s"))
 
 
-@query()
-def generated_lines(spark, d):
-    return sampling.lines(spark, 20000, 2)
-
-
 @query("""WITH b AS (SELECT (event_id // 12)::BIGINT AS page, event_id % 12 AS k, (floor(abs(value))::BIGINT % 200 + 60) AS wide FROM events)
 SELECT page, (row_number() OVER (PARTITION BY page ORDER BY k) - 1)::INT AS pos, 0 AS left, (k * 32 + 20)::INT AS top, wide::INT AS right, (k * 32 + 32)::INT AS bottom FROM b""")
 def page_segments(spark, d):
@@ -457,4 +453,4 @@ def ensemble_trust(spark, d):
 
 
 # registers its queries in the tables above
-from . import rules as _rules, shapes as _shapes  # noqa: E402, F401
+from . import lines as _lines, rules as _rules, shapes as _shapes  # noqa: E402, F401

@@ -241,12 +241,12 @@ _VALUE = f"""CASE kind WHEN 'name' THEN concat({_MADE}, {_one(sampling.TAILS, 4)
  ELSE concat({_MADE}, '에서 ', {_one(sampling.HEADS, 4)}, {_one(sampling.TAILS, 5)}, '과 ', {_one(sampling.HEADS, 6)}, {_one(sampling.TAILS, 7)}, ' ', {_one(sampling.PAPERS, 8)}, '를 함께 읽는다.') END"""
 
 
-@query(f"""WITH n AS (SELECT pos, {_hashes(sampling.CHOICES, 'pos')} AS h FROM (SELECT unnest(range(20000))::BIGINT AS pos)),
+@query(f"""WITH n AS (SELECT pos, {_hashes(sampling.CHOICES, 'pos')} AS h FROM (SELECT o_orderkey::BIGINT AS pos FROM orders)),
 k AS (SELECT *, {_one(sampling.VALUES, 1)} AS kind FROM n), v AS (SELECT *, {_VALUE} AS v FROM k),
 l AS (SELECT *, CASE WHEN kind = 'sentence' THEN v ELSE concat({_one(sampling.FIELDS, 9)}, {_one(sampling.BETWEEN, 10)}, v) END AS line, h[12] % 16 AS mark FROM v)
 SELECT pos, kind, CASE mark WHEN 0 THEN concat('(', line, ')') WHEN 1 THEN concat(line, '!') WHEN 2 THEN concat('- ', line) ELSE line END AS text FROM l""")
 def generated_forms(spark, d):
-    return sampling.forms(spark, 20000)
+    return sampling.forms(table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k")), "k")
 
 
 @query(f"""WITH f AS (SELECT list({{'font': 'f' || i, 'm': i + 2, 'full': i > 5}} ORDER BY i) AS fonts FROM (SELECT unnest(range(9)) AS i)),

@@ -107,13 +107,6 @@ def test_payload(spark):
     assert one(spark, payload.image_urls(F.col("c")), c=content) == ["data:a", "b"]
 
 
-def test_generator_is_stable(spark):
-    a = sampling.lines(spark, 500, 3).orderBy("pos").collect()
-    b = sampling.lines(spark, 500, 3).repartition(7).orderBy("pos").collect()
-    assert a == b and len({r["text"] for r in a}) > 400
-    assert not any(set(r["text"]) & set(T.UNDRAWABLE) for r in a)
-
-
 def test_segments():
     page = np.full((200, 300), 255, np.uint8)
     page[20:40, 10:120] = 0
