@@ -95,6 +95,11 @@ def close(read: Column, truth: Column) -> Column:
     return F.coalesce(F.when(near, ratio(a, b) >= 0.5).otherwise(False), F.lit(False))
 
 
+def ratio_tight(read: Column, truth: Column) -> Column:
+    """Agreement of two reads taken apart to jamo and without white space."""
+    return ratio(tight(nfd_hangul(read)), tight(nfd_hangul(truth)))
+
+
 def positional(read: Column, truth: Column) -> Column:
     """Share of the truth's characters met at the same place."""
     hits = F.size(F.filter(F.zip_with(chars(read), chars(truth), lambda a, b: a == b), lambda same: same))

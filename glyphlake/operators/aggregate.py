@@ -185,3 +185,15 @@ def poisson_band(df: DataFrame, keys: Sequence[str], value: str, row: str, draws
     # draws values for each key
     at = lambda q: F.element_at(F.array_sort(F.collect_list("__m")), int(q * (draws - 1)) + 1)
     return means.groupBy(*keys).agg(((at(0.975) - at(0.025)) / 2).alias("band"))
+
+
+def summary(scores: DataFrame, keys: Sequence[str], name: str, score: str, show: int = 5) -> DataFrame:
+    """One row a key: n, lowest, tenth (the value at rank n // 10), middle, mean, and the `show` lowest names with their scores,
+    ties by name. Null scores are left out; a key without a score has no row."""
+    rows = scores.where(F.col(score).isNotNull())
+    told = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(score).alias("lowest"), F.percentile(score, 0.5).alias("middle"), F.avg(score).alias("mean"))
+    tenth = ranked_quantiles(rows, list(keys), score, [0.1]).select(*keys, F.col("value").alias("tenth"))
+    order = Window.partitionBy(*keys).orderBy(score, name)
+    low = rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= show)
+    named = low.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(name).alias("name"), F.col(score).alias("score")))), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"))).alias("worst"))
+    return told.join(tenth, list(keys)).join(named, list(keys))

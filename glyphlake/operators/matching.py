@@ -3,30 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def greedy_pairs(reads: DataFrame, truths: DataFrame, key: str) -> DataFrame:
-    """Best-pair matching inside each key (a page: its lines are few): all pairs by (score, read, truth) descending, taken
-    while both are free; unmatched truths have a null read. key, truth_pos, truth, read_pos, read, score."""
-
-    def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got, want = left.sort_values("pos").to_dict("records"), right.sort_values("pos").to_dict("records")
-        scored = sorted(((SequenceMatcher(None, g["text"], w["text"]).ratio(), i, j) for i, g in enumerate(got) for j, w in enumerate(want)), reverse=True)
-        free, chosen = set(range(len(got))), {}
-        for s, i, j in scored:
-            if i in free and j not in chosen:
-                free.remove(i)
-                chosen[j] = (i, s)
-        rows = [(w[key], w["pos"], w["text"], got[chosen[j][0]]["pos"] if j in chosen else None, got[chosen[j][0]]["text"] if j in chosen else "", chosen[j][1] if j in chosen else 0.0) for j, w in enumerate(want)]
-        return pd.DataFrame(rows, columns=[key, "truth_pos", "truth", "read_pos", "read", "score"])
-
-    kind = truths.schema[key].dataType.simpleString()
-    return reads.select(key, "pos", "text").groupBy(key).cogroup(truths.select(key, "pos", "text").groupBy(key)).applyInPandas(each, f"{key} {kind}, truth_pos int, truth string, read_pos double, read string, score double")
+from ..functions import text as T
+from ..session import stored
+
+
+#: A key's reads meet its truths in this many tasks.
+SALTS = 8
+
+
+def greedy_pairs(reads: DataFrame, truths: DataFrame, key: str, score=T.ratio) -> DataFrame:
+    """Best-pair matching inside each key: the best pair by (score, read, truth) is taken, then the best of what is free, and
+    so on; unmatched truths have a null read. key, truth_pos, truth, read_pos, read, score.
+
+    reads and truths have key, pos and text; null texts count as empty. A round takes every pair that is the best of both its
+    read and its truth: greedy would take it too, as nothing better touches either. What a round takes leaves with all its
+    pairs; rounds end when no pair is left, so no key is gathered in a task. A key's pairs are reads x truths in number, since
+    each has a score: a key is a page, and its reads are salted over tasks.
+    """
+    text = lambda df, name: df.select(F.col(key).alias("__k"), F.col("pos").alias(f"{name}_pos"), F.coalesce("text", F.lit("")).alias(name))
+    left = text(reads, "read").withColumn("__s", F.pmod(F.xxhash64("read_pos"), F.lit(SALTS)).cast("int"))
+    right = text(truths, "truth")
+    salted = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # nothing is read of equal keys but null ones, which are no page
+    pairs = stored(left.join(salted, ["__k", "__s"]).select("__k", "read_pos", "truth_pos", score(F.col("read"), F.col("truth")).cast("double").alias("score")), "pairs")
+    order = F.struct("score", "read_pos", "truth_pos")
+    taken = None
+    while not pairs.isEmpty():
+        by_read = pairs.groupBy("__k", "read_pos").agg(F.max(order).alias("b")).select("__k", "read_pos", F.col("b.truth_pos").alias("truth_pos"), F.col("b.score").alias("score"))
+        by_truth = pairs.groupBy("__k", "truth_pos").agg(F.max(order).alias("b")).select("__k", F.col("b.read_pos").alias("read_pos"), "truth_pos")
+        both = stored(by_read.join(by_truth, ["__k", "read_pos", "truth_pos"]), "matched")
+        taken = both if taken is None else taken.unionByName(both)
+        pairs = stored(pairs.join(both.select("__k", "read_pos"), ["__k", "read_pos"], "left_anti").join(both.select("__k", "truth_pos"), ["__k", "truth_pos"], "left_anti"), "pairs")
+    if taken is None:
+        taken = pairs
+    out = right.join(taken.join(left.drop("__s"), ["__k", "read_pos"]), ["__k", "truth_pos"], "left")
+    return out.select(F.col("__k").alias(key), "truth_pos", "truth", "read_pos", F.coalesce("read", F.lit("")).alias("read"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def leaks(items: DataFrame, tests: DataFrame, shingle: int = 5) -> DataFrame:

@@ -74,3 +74,13 @@ def routed(requests: DataFrame, model: str, method: str = "method", path: str =
     error = F.when(openai, F.to_json(F.struct(F.struct(said.alias("message"), F.lit("invalid_request_error").alias("type")).alias("error")))).otherwise(F.to_json(F.struct(said.alias("error"))))
     reply = F.when(openai, openai_reply(at, F.col(text), model)).when(at == "/read", F.to_json(F.struct(F.col(text).alias("text")))).otherwise(ollama_reply(F.col(text), model))
     return requests.withColumn("status", status).withColumn("body", F.when(status != 200, error).when(m == "GET", get).otherwise(reply))
+
+
+def ndjson(replies: DataFrame, keys: list[str], model: str, text: str = "text", why: str = "stop") -> DataFrame:
+    """replies(keys..., text) -> keys, n, line: a streamed reply as lines of JSON: the text unless it is empty, then the end."""
+    say = lambda words: F.struct(F.lit("assistant").alias("role"), words.alias("content"))
+    words = F.coalesce(F.col(text), F.lit(""))
+    piece = F.to_json(F.struct(F.lit(model).alias("model"), say(words).alias("message"), F.lit(False).alias("done")))
+    last = F.to_json(F.struct(F.lit(model).alias("model"), say(F.lit("")).alias("message"), F.lit(True).alias("done"), F.lit(why).alias("done_reason")))
+    lines = F.when(words == "", F.array(last)).otherwise(F.array(piece, last))
+    return replies.select(*keys, F.posexplode(lines).alias("n", "line")).withColumn("line", F.concat("line", F.lit("\n")))

@@ -453,4 +453,4 @@ def ensemble_trust(spark, d):
 
 
 # registers its queries in the tables above
-from . import lines as _lines, rules as _rules, shapes as _shapes  # noqa: E402, F401
+from . import lines as _lines, rules as _rules, shapes as _shapes, states as _states  # noqa: E402, F401
