@@ -32,6 +32,8 @@ STEPS = 120
 #: HTML elements by the way they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg select option button object head".split())
+#: Of these only such hide a page to its end where their own end is missing; the others end with what is around them.
+CLOSED = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 #: An open element of the first kind is closed by a start tag of the others.
 CLOSED_BY = {
@@ -46,6 +48,7 @@ CLOSED_BY = {
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PIECES = re.compile(r"[a-z]+")
+_DIGIT = re.compile(r"\d")
 #: Fixed value: parts of class and id names that tell what an element is for.
 HINTS = tuple("nav menu head foot side ad ads advert sponsor promo banner cookie consent notice alert popup modal comment repl discuss respon form search login subscri newsletter share social related recommend widget breadcrumb copyright legal content article post entry story main body text".split())
 
@@ -79,7 +82,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, float, tuple]]:
         if links:
             linked += len(text)
 
-    at, end, hidden = 0, len(page), ""
+    at, end, hidden, missing = 0, len(page), "", set()
     while at < end:
         m = _TOKEN.search(page, at)
         start = m.start() if m else end
@@ -98,12 +101,12 @@ def leaf_blocks(page: str | None) -> list[tuple[str, float, tuple]]:
             continue
         if tag in RAW:
             if not closing and not (m[3] or m[6] or "").endswith("/"):
-                # what it holds isn't markup: go on at its end tag
-                close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
-                if tag == "head" and not close:
+                # what it holds isn't markup: go on where it ends
+                if tag == "head" and not _ENDS[tag].search(page, at):
                     continue
-                hidden = tag
-                at = close.start() if close else end
+                around = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
+                at, closed = _hidden_end(page, tag, at, around, missing)
+                hidden = tag if closed else ""
             continue
         if tag not in INLINE:
             flush()
@@ -132,6 +135,44 @@ def leaf_blocks(page: str | None) -> list[tuple[str, float, tuple]]:
     return out
 
 
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ENDS = {tag: re.compile(rf"</{re.escape(tag)}\b", re.I) for tag in RAW}
+_OPTION = frozenset("option optgroup select datalist".split())
+
+
+def _hidden_end(page: str, tag: str, at: int, around: str, missing: set[str]) -> tuple[int, bool]:
+    """(where what an element of RAW hides ends, whether its own end tag is there). around: the innermost open block; missing:
+    elements whose end tag doesn't occur any more."""
+    if tag == "option":
+        # an option ends with the next, with its list, or where a block begins
+        for m in _TAG.finditer(page, at):
+            name = m[2].lower()
+            if name in _OPTION or name not in INLINE and name not in VOID:
+                return m.start(), name == tag and bool(m[1])
+        return len(page), False
+    own = None if tag in missing else _ENDS[tag].search(page, at)
+    if own is None:
+        missing.add(tag)
+        if tag in CLOSED:
+            return len(page), False
+    else:
+        depth = 0
+        if tag not in CLOSED and around:
+            for m in _TAG.finditer(page, at, own.start()):
+                if m[2].lower() == around:
+                    depth += -1 if m[1] else 1
+                    if depth < 0:
+                        break
+        if depth >= 0:
+            return own.start(), True
+    # its end is missing: it ends where a block begins or ends
+    for m in _TAG.finditer(page, at):
+        name = m[2].lower()
+        if name not in INLINE and name not in VOID:
+            return m.start(), False
+    return len(page), False
+
+
 @lru_cache(1 << 14)
 def _of_place(where: tuple) -> tuple:
     """Features of open ancestors."""
@@ -167,7 +208,7 @@ def features(found: list[tuple[str, float, tuple]]) -> list[list[str]]:
             f.append("copyright")
         if "|" in text or "·" in text:
             f.append("bars")
-        if any(c.isdigit() for c in text[:200]):
+        if _DIGIT.search(text):
             f.append("digits")
         if k:
             f.append("same place" if found[k - 1][2][:-1] == where[:-1] else "new place")

@@ -67,7 +67,7 @@ class Page:
         r = self.rng
         self.out.append(f"<{tag}{self.name(kinds) if r.random() < 0.7 or tag == 'div' else ''}>")
         if r.random() < 0.25:
-            self.put(r.choice(("h3", "h4", "strong-title" if False else "h2")), self.words(1, 4), 0)
+            self.put(r.choice(("h3", "h4", "h2")), self.words(1, 4), 0)
         if r.random() < 0.75:
             self.out.append("<ul>")
             for _ in range(r.randint(2, 9)):
@@ -94,7 +94,7 @@ class Page:
     def form(self) -> None:
         self.out.append(f"<form{self.name(_FORM)}>")
         for _ in range(self.rng.randint(1, 3)):
-            self.put(self.rng.choice(("p", "div", "label-row" if False else "div")), self.words(1, 8), 0)
+            self.put(self.rng.choice(("p", "div", "div")), self.words(1, 8), 0)
             self.out.append('<input type="text" name="q">')
         self.out.append("</form>")
 
