@@ -115,11 +115,38 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("step") == F.col("at")), "left")
     p = F.col("rate") - F.floor("rate")
     rank = F.when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
-    # rows of one rank on the edge are copies of one document; any of them will do
-    lot = (F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), "u"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    more = F.coalesce((rank < F.col("cut.rank")) | ((rank == F.col("cut.rank")) & ((F.col("cut.part") >= 1) | (lot < F.col("cut.part")))), F.lit(False))
-    copies = (F.floor("rate") + more.cast("int")).cast("long")
-    return rows.select("row.*", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    over = F.coalesce((rank < F.col("cut.rank")) | ((rank == F.col("cut.rank")) & (F.col("cut.part") >= 1)), F.lit(False))
+    edge = F.coalesce((rank == F.col("cut.rank")) & (F.col("cut.part") > 0) & (F.col("cut.part") < 1), F.lit(False))
+    ready = rows.withColumns({"base": F.floor("rate").cast("long"), "over": over, "edge": edge})
+    plain = ready.where("NOT edge").select("row", "source_size", "target", "size", (F.col("base") + F.col("over").cast("int")).cast("long").alias("copies"))
+    return plain.unionByName(_shared_out(ready.where("edge"), docs)).select("row.*", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: Equal rows that one task puts out again.
+RUN = 1 << 16
+
+
+def _shared_out(edge: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of one rank at a source's edge, of which a part gets one copy more: row, source_size, target, size, copies.
+
+    They are copies of one document, so rows that are equal in all columns are counted and put out again, some with one copy
+    more; different rows go by a hash of what they hold. So partitions play no part, and no task gets a source's copies.
+    """
+    names = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # nulls don't change a hash, so their places are hashed too
+    held = [x for c in names for x in (c, c.isNull())]
+    name = F.struct(F.xxhash64(*held).alias("a"), F.xxhash64(F.lit(1), *held).alias("b"))
+    kept = ["source_size", "target", "size", "base", "cut"]
+    each = edge.groupBy("source", name.alias("name")).agg(F.count("*").alias("n"), F.first("row").alias("row"), *[F.first(c).alias(c) for c in kept])
+    order = Window.partitionBy("source").orderBy("name")
+    upto = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("n").over(Window.partitionBy("source"))
+    each = each.withColumns({"before": upto, "wanted": F.round(whole * F.col("cut.part")).cast("long")})
+    more = F.greatest(F.lit(0), F.least(F.col("n"), F.col("wanted") - F.col("before")))
+    runs = each.withColumn("more", more).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.repartition("name", "at")
+    out = runs.withColumn("i", F.explode(F.sequence(F.col("at"), F.least(F.col("n"), F.col("at") + RUN) - 1)))
+    return out.select("row", "source_size", "target", "size", (F.col("base") + (F.col("i") < F.col("more")).cast("int")).cast("long").alias("copies"))
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
