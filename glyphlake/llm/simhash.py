@@ -400,7 +400,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not judged.where("stays AND m > 1").isEmpty():
         # rows that repeat both id and text: one of them
         plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-        turn = Window.partitionBy("key").orderBy(F.xxhash64(*plain))
-        several = rows.where(mine & (F.col("m") > 1)).withColumn("turn", F.row_number().over(turn)).where("turn = 1")
+        # combined before the shuffle: a text of very many rows sends one from each task
+        several = rows.where(mine & (F.col("m") > 1)).groupBy("key").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
         kept = kept.unionByName(several.select("row"))
     return kept.select("row.*")

@@ -279,3 +279,25 @@ def test_pipeline_keeps_clean_documents(spark):
         assert any(n / len(sets[i] | sets[j]) >= 0.8 for j, n in near.items()) or not sets[i]
     assert [n for n, _ in corpus_pipeline.STAGES][:2] == ["quality classifier", "simhash near-dedup"]
     assert np.isfinite(quality.features_of(pa.array(["a"]))).all()
+
+
+@pytest.mark.parametrize("before", ["<datalist><option value=a>x<option value=b>y</datalist>", "<div><button>go</div>", "<object data=x>", "<div><object data=x><div>instead</div></object></div>", "<select><option>one<option>two</select>", "<div><noscript>off</div>", "<svg><text>drawn"])
+def test_unclosed_controls_hide_no_article(before):
+    from glyphlake.llm import extract
+
+    prose = "This is a sentence of the article that goes on for a while. " * 5
+    text = extract.main_text(f"<body>{before}<article><h1>Head</h1><p>{prose}</p><p>{prose}</p></article></body>", extract.trained())
+    assert text == f"Head\n\n{prose.strip()}\n\n{prose.strip()}"
+
+
+def test_mixing_does_not_depend_on_the_split(spark):
+    rows = [(7, "one two three", "en", "a", 1)] * 200 + [(7, "six five four", "en", "a", 1)] * 3 + [(i, "w " * (i % 40), "en", "ab"[i % 2], 1) for i in range(100)]
+    seen = set()
+    for parts in (1, 7, 40):
+        df = spark.createDataFrame(rows, DOCS).repartition(parts)
+        got = mixing.mix(df.select("doc_id", "text", "source", mixing.word_count(F.col("text")).alias("size")))
+        seen.add(str(sorted(map(str, got.collect()))))
+    assert len(seen) == 1
+    assert got.count() == len(rows)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want")).collect():
+        assert abs(r["t"] - r["want"]) <= 80
