@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import pictures
+from . import segment
 from .aggregate import medoid
 
 Reader = Callable[[list[bytes]], list[str]]
@@ -33,3 +35,19 @@ def trusted(reads: DataFrame, score: Callable[[Column, Column], Column]) -> Data
     best = medoid(reads, "cell", "pos", "text", score).withColumnRenamed("key", "cell")
     out = members.join(best, "cell", "left").select("cell", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("members") == 1, -1.0).otherwise(F.coalesce("trust", F.lit(0.0))).alias("trust"))
     return out.withColumn("unsure", (F.col("trust") >= 0) & (F.col("trust") < EDGE))
+
+
+def photographed(files: DataFrame, reader: Reader, how=None, most: int | None = 12, pad: int = 6) -> DataFrame:
+    """files(page, content) -> page, text: pictures turned upright, made ready, cut into lines of writing, each line read as a
+    PNG of its own, lines of a row joined by a space and rows by \\n. A picture that can't be read or holds no writing has the
+    empty text."""
+    kind = files.schema["page"].dataType
+    pages = segment.ready(pictures.read(files), how)
+    lines = segment.writing(pages, most, pad)
+    cells = lines.select(F.struct("page", "row", "pos").alias("page"), (F.col("bottom") - F.col("top")).alias("h"), (F.col("right") - F.col("left")).alias("w"), "pix")
+    told = read(pictures.write(cells).select(F.col("page").alias("cell"), F.col("content").alias("pix")), {"reader": reader})
+    rows = told.groupBy(F.col("cell.page").alias("page"), F.col("cell.row").alias("row")).agg(F.array_sort(F.collect_list(F.struct("cell.pos", "text"))).alias("t"))
+    rows = rows.select("page", "row", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
+    # a page has `most` lines
+    whole = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return files.select(F.col("page").cast(kind)).join(whole, "page", "left").select("page", F.coalesce("text", F.lit("")).alias("text"))

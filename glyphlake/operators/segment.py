@@ -232,6 +232,35 @@ def shrunk(page: np.ndarray, height: int, width: int) -> np.ndarray:
     return share(page.shape[0], height) @ page.astype(float) @ share(page.shape[1], width).T
 
 
+def ready(pages: DataFrame, how: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """pages(page, h, w, pix) -> the same, each page through `how` (cropped, shrunk and flattened by default); a page at a time.
+    Pages without pixels are left out."""
+    how = how or prepared
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for x in p.itertuples():
+                out = how(np.frombuffer(x.pix, np.uint8).reshape(x.h, x.w))
+                yield pd.DataFrame({"page": [x.page], "h": out.shape[0], "w": out.shape[1], "pix": [out.tobytes()]})
+
+    kind = pages.schema["page"].dataType.simpleString()
+    return pages.where("pix IS NOT NULL").select("page", "h", "w", "pix").mapInPandas(each, f"page {kind}, h int, w int, pix binary")
+
+
+#: A cell this empty, its width counted up to so many heights, is thickened so often, and then left out.
+FAINT, LONGEST, THICKENED = 0.005, 10.0, 2
+
+
+def inked_enough(cell: np.ndarray) -> np.ndarray | None:
+    """The cell, thickened while it is nearly empty; None if it stays so."""
+    for turn in range(THICKENED + 1):
+        if (cell < INK).mean() * min(cell.shape[1] / cell.shape[0], LONGEST) / LONGEST > FAINT:
+            return cell
+        if turn < THICKENED:
+            cell = _thicker(cell)
+    return None
+
+
 def widest(profile: np.ndarray, least: float = SHARE * 255, misses: int | None = None) -> tuple[int, int] | None:
     """The longest [start, end) of values that reach `least`, a few misses tolerated; the first wins ties."""
     misses = max(2, len(profile) // 50) if misses is None else misses

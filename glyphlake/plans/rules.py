@@ -181,11 +181,11 @@ def unknown_options(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.size(F.array_except(asked, known)).alias("unknown"))
 
 
-_PIX = """p AS (SELECT vec_id AS cell, (i // 8)::INT AS y, (i % 8)::INT AS x, least(255, floor(abs(embedding[i + 1]::DOUBLE) * 1000))::INT AS v FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings))"""
+_PIX = """p AS (SELECT vec_id AS cell, (i // 8)::INT AS y, (i % 8)::INT AS x, least(255, floor(abs(embedding[i + 1]::DOUBLE) * 1000))::INT AS v FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings))"""
 
 
 def _pixels(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 64)).alias("i", "e"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "e"))
     return rows.select("cell", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), F.least(F.lit(255), F.floor(F.abs("e") * 1000)).cast("int").alias("v"))
 
 

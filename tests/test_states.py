@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text as T
-from glyphlake.operators import aggregate, matching, payload
+from glyphlake.operators import aggregate, matching, payload, reading, segment
 from glyphlake.sources import pictures, snapshots
 from glyphlake.streaming import running
 
@@ -177,3 +177,19 @@ def test_summary_and_tight_ratio(spark):
     assert [x["name"] for x in got["r"]["worst"]] == ["f00", "f01", "f02"] and [x["name"] for x in got["s"]["worst"]] == ["a", "b"]
     one = spark.createDataFrame([("성명 : 홍", "성명: 홍")], "a string, b string").select(T.ratio_tight(F.col("a"), F.col("b")).alias("t"), T.ratio(F.col("a"), F.col("b")).alias("r")).first()
     assert one["t"] == 1.0 and one["r"] < 1.0
+
+
+def test_nearly_empty_cells_are_thickened_or_left_out():
+    cell = np.full((20, 200), 255, np.uint8)
+    assert segment.inked_enough(cell) is None
+    cell[5, 5:9] = 0
+    thick = segment.inked_enough(cell)
+    assert thick is not None and (thick < segment.INK).sum() > 4
+    cell[:, ::4] = 0
+    assert segment.inked_enough(cell) is cell
+
+
+def test_photos_that_cannot_be_read_have_the_empty_text(spark):
+    blank = pictures.encoded(np.full((60, 60), 255, np.uint8))
+    files = spark.createDataFrame([(1, None), (2, b"x"), (3, blank)], "page long, content binary")
+    assert sorted(map(tuple, reading.photographed(files, lambda x: ["?"] * len(x)).collect())) == [(1, ""), (2, ""), (3, "")]
