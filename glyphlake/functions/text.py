@@ -30,13 +30,18 @@ def syllable(head: Column, mid: Column, tail: Column) -> Column:
     return char((F.lit(S_BASE) + (head * V_COUNT + mid) * T_COUNT + tail).cast("int"))
 
 
+def _jamo(base: int, count: int, at: Column) -> Column:
+    """The at-th of `count` jamo from a code point on, looked up in a constant array."""
+    return F.element_at(F.array(*[F.lit(chr(base + k)) for k in range(count)]), at + 1)
+
+
 def nfd_hangul(text: Column) -> Column:
     """Syllables taken apart into conjoining jamo; other characters as they are."""
 
     def one(c):
         n = F.ascii(c) - S_BASE
         tail = n % T_COUNT
-        parts = F.concat(char(F.lit(L_BASE) + F.floor(n / (V_COUNT * T_COUNT)).cast("int")), char(F.lit(V_BASE) + F.floor((n % (V_COUNT * T_COUNT)) / T_COUNT).cast("int")), F.when(tail > 0, char(F.lit(T_BASE) + tail)).otherwise(F.lit("")))
+        parts = F.concat(_jamo(L_BASE, S_COUNT // (V_COUNT * T_COUNT), F.floor(n / (V_COUNT * T_COUNT)).cast("int")), _jamo(V_BASE, V_COUNT, F.floor((n % (V_COUNT * T_COUNT)) / T_COUNT).cast("int")), F.when(tail > 0, _jamo(T_BASE, T_COUNT, tail)).otherwise(F.lit("")))
         return F.when((n >= 0) & (n < S_COUNT), parts).otherwise(c)
 
     return F.array_join(F.transform(chars(text), one), "")
