@@ -301,3 +301,20 @@ def test_mixing_does_not_depend_on_the_split(spark):
     assert got.count() == len(rows)
     for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want")).collect():
         assert abs(r["t"] - r["want"]) <= 80
+
+
+def test_extraction_of_given_pages(spark):
+    """The given pages put the article into an element of its name: its words, and nothing else."""
+    import html
+    import re
+
+    from glyphlake.llm import extract
+
+    right = []
+    got = {r["page_id"]: r["text"] for r in extract.op4_crf_html_extraction(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"] or "", re.S)
+        if inner:
+            plain = re.sub(r"<[^>]*>", " ", re.sub(r"<(script|style)\b.*?</\1>", "", inner[1], flags=re.S))
+            right.append(html.unescape(plain).split() == got[r["page_id"]].split())
+    assert len(right) > 30 and sum(right) >= 0.98 * len(right)
