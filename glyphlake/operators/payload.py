@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,14 @@ def sse(rows: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
     return events.unionByName(ends)
 
 
+def event_stream(text: Column, model: str) -> Column:
+    """A reply as the whole stream of server-sent events: the text, the end, [DONE]; null is said as empty."""
+    head = '{"model":' + json.dumps(model, ensure_ascii=False) + ',"object":"chat.completion.chunk","choices":[{"index":0,"delta":'
+    said = F.to_json(F.struct(F.lit("assistant").alias("role"), F.coalesce(text, F.lit("")).alias("content")))
+    piece = lambda delta, why: F.concat(F.lit(f"data: {head}"), delta, F.lit(f',"finish_reason":{why}}}]}}\n\n'))
+    return F.concat(piece(said, "null"), piece(F.lit("{}"), '"stop"'), F.lit("data: [DONE]\n\n"))
+
+
 def ollama_reply(text: Column, model: str) -> Column:
     """An empty request is answered as a load."""
     return F.to_json(F.struct(F.lit(model).alias("model"), F.coalesce(text, F.lit("")).alias("response"), F.lit(True).alias("done"), F.when(F.coalesce(text, F.lit("")) == "", "load").otherwise("stop").alias("done_reason")))
