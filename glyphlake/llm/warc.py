@@ -10,7 +10,7 @@ A payload is verified on the way in (SHA-256 and length computed from the bytes
 the bytes stored; a mismatch raises).
 
 Of records with equal payloads, the one with the largest page_id is the `response`, the others `revisit` it; payloads
-shorter than `least` bytes always make responses. Nulls, empties, ties: a null html is the empty payload; a null url is
+shorter than `least` bytes always make responses. page_id is an integer. Nulls, empties, ties: a null html is the empty payload; a null url is
 written as an empty WARC-Target-URI; page_id must not be null for WARC identity, null ids are written as `null` and sort
 first; rows that repeat a page_id are records of their own, of which one with the largest page_id is the response. An empty
 table gives an empty archive.
@@ -41,12 +41,19 @@ def base32_of_hex(digest):
 
 
 def _pack(batches):
+    """Each payload of a task once, compressed; the digests seen are as many as the task's payloads."""
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3)
+    packer, seen = zstandard.ZstdCompressor(level=3), set()
     for b in batches:
-        packed = [packer.compress(x.as_buffer()) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["strong", "n_bytes", "packed"])
+        strong, rows = b.column(0).to_pylist(), []
+        for k, name in enumerate(strong):
+            if name not in seen:
+                seen.add(name)
+                rows.append(k)
+        packed = [packer.compress(b.column(2)[k].as_buffer()) for k in rows]
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(packed, pa.binary())], names=["strong", "n_bytes", "packed"])
 
 
 def _verify(batches):
@@ -65,8 +72,8 @@ def _verify(batches):
 
 
 def headers(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages(page_id, url, html) -> (page_id, strong, header, keeps): header is the record's exact header block as bytes;
-    keeps marks the one record of its payload that brings the bytes. Only digests and ids are shuffled."""
+    """pages(page_id, url, html) -> (page_id, strong, header): header is the record's exact header block as bytes. Only digests and
+    ids are shuffled."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.sha2(payload, 256).alias("strong"), F.octet_length(payload).cast("long").alias("n_bytes"), F.sha1(payload).alias("sha1"))
     largest = rows.groupBy("strong").agg(F.max("page_id").alias("first_id"))
@@ -86,34 +93,22 @@ def headers(pages: DataFrame, least: int = 0) -> DataFrame:
         (F.length(http) + F.when(response, F.col("n_bytes")).otherwise(0)).cast("string"),
         F.lit("\r\n\r\n"), http,
     )
-    return rows.select("page_id", "strong", F.encode(head, "UTF-8").alias("header"), first.alias("keeps"))
+    return rows.select("page_id", "strong", F.encode(head, "UTF-8").alias("header"))
 
 
 def write_archive(pages: DataFrame, path: str, least: int = 0) -> str:
     """Stores the archive of pages under path and returns path."""
     heads = headers(pages, least)
     heads.write.option("compression", "zstd").parquet(f"{path}/headers")
-    heads = pages.sparkSession.read.schema(heads.schema).parquet(f"{path}/headers")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    # compressed before the shuffle, as it is stored
-    packed = pages.select("page_id", F.sha2(payload, 256).alias("strong"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("n_bytes"))
-    ids = packed.select("strong", "payload", "n_bytes", "page_id").mapInArrow(_pack_with_id, "strong string, n_bytes long, packed binary, page_id long")
-    keeps = heads.where("keeps").select(F.col("strong").alias("s"), F.col("page_id").alias("p"))
-    kept = ids.join(keeps.hint("shuffle_hash"), (F.col("strong") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p")), "left_semi")
-    # a repeated page_id may bring its payload twice
-    twice = Window.partitionBy("strong").orderBy("n_bytes")
-    kept.withColumn("k", F.row_number().over(twice)).where("k = 1").select("strong", "n_bytes", "packed").write.option("compression", "none").parquet(f"{path}/payloads")
+    rows = pages.select(F.sha2(payload, 256).alias("strong"), F.octet_length(payload).cast("long").alias("n_bytes"), payload.alias("payload"))
+    # a task sends a payload once, compressed as it is stored; equal payloads pack to equal bytes, so any of them may stay
+    sent = rows.mapInArrow(_pack, PAYLOADS)
+    sent.groupBy("strong").agg(F.first("n_bytes").alias("n_bytes"), F.first("packed").alias("packed")).write.option("compression", "none").parquet(f"{path}/payloads")
     return path
 
 
-def _pack_with_id(batches):
-    for b in batches:
-        ids = b.column(3)
-        for out in _pack([b]):
-            yield pa.RecordBatch.from_arrays([*out.columns, ids.cast(pa.int64())], names=["strong", "n_bytes", "packed", "page_id"])
-
-
-HEADERS = "page_id long, strong string, header binary, keeps boolean"
+HEADERS = "page_id long, strong string, header binary"
 PAYLOADS = "strong string, n_bytes long, packed binary"
 
 
