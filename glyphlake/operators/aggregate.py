@@ -55,11 +55,18 @@ def at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[tup
     same = F.lit(True)
     for j, k in enumerate(keys):
         same = same & rows[k].eqNullSafe(F.col(f"__k{j}"))
-    # groups x ranks rows; without keys as many as ranks
-    both = rows.join(asked, same) if keys else rows.join(F.broadcast(asked))
-    band = both.where(F.col("__v") <= F.col("hi")).groupBy(*keys, "q", "n", "rank", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("value")).agg(F.count("*").alias("c"))
+    # one row a group, with a bracket for each rank
+    bands = asked.groupBy(*[f"__k{j}" for j in range(len(keys))], "n").agg(F.array_sort(F.collect_list(F.struct("q", "rank", "lo", "hi"))).alias("__a"))
+    both = rows.join(bands, same) if keys else rows.join(F.broadcast(bands))
+    band = F.col("__a")
+    under = [F.struct(band[j]["q"].alias("q"), band[j]["rank"].alias("rank"), F.sum((F.col("__v") < band[j]["lo"]).cast("long")).alias("c")) for j in range(len(ranks))]
+    # counted inside the row: no row is multiplied by the ranks
+    first = both.groupBy(*keys, "n", "__a").agg(F.array(*under).alias("__u")).select(*keys, "n", F.inline("__u")).withColumn("value", F.lit(None).cast(rows.schema["__v"].dataType))
+    held = both.select(*keys, "n", F.col("__v").alias("value"), F.explode(F.filter(band, lambda x: (x["lo"] <= F.col("__v")) & (F.col("__v") <= x["hi"]))).alias("b"))
+    inside = held.groupBy(*keys, "n", F.col("b.q").alias("q"), F.col("b.rank").alias("rank"), "value").agg(F.count("*").alias("c"))
+    counted = first.unionByName(inside)
     upto = F.sum("c").over(Window.partitionBy(*keys, "q").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    return band.withColumn("upto", upto).where(F.col("value").isNotNull() & (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank"))).select(*keys, "q", "n", "value")
+    return counted.withColumn("upto", upto).where(F.col("value").isNotNull() & (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank"))).select(*keys, "q", "n", "value")
 
 
 def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float] = QUANTILES) -> DataFrame:
@@ -177,14 +184,14 @@ def poisson_edges(most: int = 7) -> list[int]:
 
 def poisson_band(df: DataFrame, keys: Sequence[str], value: str, row: str, draws: int = 40) -> DataFrame:
     """Half-width of the middle 95 % of bootstrapped means for groups of any size: each row counts Poisson(1) times in each
-    of `draws` replicas, by a hash of row and replica. Replicas are sums added up map-side."""
-    times = sum([(F.col("__h") > e).cast("int") for e in poisson_edges()], F.lit(0))
-    rows = df.select(*keys, F.col(value).alias("__v"), F.col(row).alias("__r")).withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.withColumn("__h", mixed(F.col("__r"), F.col("__d"))).withColumn("__t", times)
-    means = rows.groupBy(*keys, "__d").agg((F.sum(F.col("__v") * F.col("__t")) / F.greatest(F.sum("__t"), F.lit(1))).alias("__m"))
-    # draws values for each key
-    at = lambda q: F.element_at(F.array_sort(F.collect_list("__m")), int(q * (draws - 1)) + 1)
-    return means.groupBy(*keys).agg(((at(0.975) - at(0.025)) / 2).alias("band"))
+    of `draws` replicas, by a hash of row and replica. Replicas are sums side by side in one row a key, added up map-side."""
+    times = F.transform(hashes(F.col("__r"), draws), lambda h: sum([(h > e).cast("long") for e in poisson_edges()], F.lit(0).cast("long")))
+    # exploded from one value, so that a row's counts are made once
+    rows = df.select(*keys, F.col(value).alias("__v"), F.col(row).alias("__r")).select(*keys, "__v", F.explode(F.array(times)).alias("__t"))
+    t = F.col("__t")
+    means = F.array(*[F.sum(F.col("__v") * t[k]) / F.greatest(F.sum(t[k]), F.lit(1)) for k in range(draws)])
+    at = lambda q: F.element_at("__m", int(q * (draws - 1)) + 1)
+    return rows.groupBy(*keys).agg(F.array_sort(means).alias("__m")).select(*keys, ((at(0.975) - at(0.025)) / 2).alias("band"))
 
 
 def summary(scores: DataFrame, keys: Sequence[str], name: str, score: str, show: int = 5) -> DataFrame:

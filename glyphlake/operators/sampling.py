@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregate import at_ranks, hashes
 from .sequence import cumulative
 
 
@@ -14,7 +15,8 @@ def error_weights(scores: DataFrame, name: str, score: str, share: float = 0.5)
     """p = (1 - share) / n + share err / sum(err), err = max(0, 100 - score); a missing score has the upper median error."""
     err = F.greatest(F.lit(0.0), 100.0 - F.col(score))
     known = scores.where(F.col(score).isNotNull()).select(err.alias("err"))
-    mid = known.withColumn("r", F.row_number().over(Window.orderBy("err")) - 1).join(F.broadcast(known.agg(F.count("*").alias("c"))), F.col("r") == F.floor(F.col("c") / 2)).agg(F.max("err").alias("mid"))
+    # always one row
+    mid = at_ranks(known, [], "err", [(0.5, F.floor(F.col("n") / 2))]).agg(F.max("value").alias("mid"))
     rows = scores.join(F.broadcast(mid)).withColumn("err", F.coalesce(err, F.col("mid"), F.lit(0.0))).drop("mid")
     total = rows.agg(F.sum("err").alias("__s"), F.count("*").alias("__n"))
     # one row
@@ -76,8 +78,6 @@ def forms(keys: DataFrame, key: str) -> DataFrame:
     """A generated line (pos, kind, text) for each integer key: a field, a separator and a value (a made name, a unit, a paper with its number, a
     date, a time slot, a latin word or a long sentence), some of them in brackets or with a mark. The words hold no undrawable
     character."""
-    from .aggregate import hashes
-
     # exploded, so that the hashes are computed once and not inside every choice
     rows = keys.select(F.col(key).alias("pos"), F.explode(F.array(hashes(F.col(key), CHOICES))).alias("h"))
     n = lambda k, top: (F.element_at("h", k + 1) % top).cast("int")
@@ -109,8 +109,6 @@ def covered_pick(lines: DataFrame, fonts: DataFrame, tries: int = 6) -> DataFram
     """lines(pos, chars array) x fonts(font, glyphs array, full boolean) -> pos, font, covered. Up to `tries` uniform picks
     by hash, the first that covers the line is taken; else a uniform one of the full fonts that cover it (all fonts if none
     is full), or of those fonts if none does. Fonts are a short list, whose size is checked by whoever makes it."""
-    from .aggregate import hashes
-
     listed = fonts.agg(F.array_sort(F.collect_list(F.struct("font", "glyphs", "full"))).alias("fonts"))
     rows = lines.join(F.broadcast(listed)).withColumn("h", F.explode(F.array(hashes(F.col("pos"), tries + 1))))
     covers = lambda f: F.size(F.array_except(F.col("chars"), f["glyphs"])) == 0
