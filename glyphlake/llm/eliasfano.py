@@ -7,6 +7,8 @@ import struct
 import numpy as np
 
 U64 = np.uint64
+#: Ranges of up to this many successors are read through, wider ones are searched.
+NARROW = 4
 #: SELECT[byte * 8 + r]: place of the r-th (from 0) set bit of a byte.
 SELECT = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[r] for x in range(256) for r in range(8)], np.uint8)
 
@@ -17,7 +19,7 @@ class EliasFano:
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
         ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        self.zeros = np.arange(1, len(high) + 1, dtype=np.int64) * 64 - ones
+        self.ones, self.zeros = ones, np.arange(1, len(high) + 1, dtype=np.int64) * 64 - ones
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -102,9 +104,8 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """Elements at indexes i, by the unary part's i-th one."""
         i = np.asarray(i, np.int64)
-        ones = np.arange(1, len(self.high) + 1, dtype=np.int64) * 64 - self.zeros
-        word = np.searchsorted(ones, i, side="right")
-        rest = i - np.where(word > 0, ones[np.maximum(word - 1, 0)], 0)
+        word = np.searchsorted(self.ones, i, side="right")
+        rest = i - np.where(word > 0, self.ones[np.maximum(word - 1, 0)], 0)
         octets = self.high[word].copy().view(np.uint8).reshape(-1, 8)
         count = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
         octet = (count <= rest[:, None]).sum(axis=1)
@@ -144,9 +145,10 @@ def mapped(data: bytes) -> np.ndarray:
 
 
 class Trie:
-    """Words, their counts, and their successors with smoothed probabilities, for the words of one shard.
+    """Contexts, their counts, and their successors with smoothed probabilities, for the contexts of one shard: words, or
+    n-grams of one length by their hashes.
 
-    Level 1: word hashes (Elias-Fano), exact counts, quantised mass left for the lower order, and pointers into level 2
+    Level 1: context hashes (Elias-Fano), exact counts, quantised mass left for the lower order, and pointers into level 2
     (Elias-Fano): the running number of successors. Level 2: successors as ranks in the shard's own list of successor hashes,
     each added to the last value of the context before, so the level is monotone. A successor search for (context, word)
     takes the context's range from its two pointers and looks for the word's rank, made relative to that range, inside it.
@@ -207,15 +209,34 @@ class Trie:
 
     def follow(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Codes of the discounted probabilities of words after contexts (hashes); 0: not seen."""
-        c, w = self.words.find(context), self.successors.find(word)
-        code = np.zeros(len(c), np.uint8)
-        ask = np.flatnonzero((c >= 0) & (w >= 0))
-        c, w = c[ask], w[ask]
-        begin = np.where(c > 0, self.pointers.get(np.maximum(c - 1, 0)), U64(0)).astype(np.int64)
-        end = self.pointers.get(c).astype(np.int64)
-        base = np.zeros(len(c), U64)
-        later = np.flatnonzero(begin > 0)
+        return self.fan(context, np.ones(len(context), np.int64), word, np.arange(len(word)))
+
+    def fan(self, contexts: np.ndarray, children: np.ndarray, words: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """As follow, for contexts that ask for `children` words each: words[which], one context after the other. What a
+        context needs is looked up once."""
+        c, w = self.words.find(contexts), self.successors.find(words)
+        there = np.flatnonzero(c >= 0)
+        begin, end, base = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), U64)
+        end[there] = self.pointers.get(c[there]).astype(np.int64)
+        after = there[c[there] > 0]
+        begin[after] = self.pointers.get(c[after] - 1).astype(np.int64)
+        later = np.flatnonzero((begin > 0) & (end > begin))
         base[later] = self.level.get(begin[later] - 1)
-        at = self.level.find(base + w.astype(U64) + U64(1), begin, end)
+        owner, rank = np.repeat(np.arange(len(c)), children), w[which]
+        code = np.zeros(len(owner), np.uint8)
+        ask = np.flatnonzero((rank >= 0) & (end > begin)[owner])
+        owner = owner[ask]
+        lo, hi, wanted = begin[owner], end[owner], base[owner] + rank[ask].astype(U64) + U64(1)
+        at = np.full(len(ask), -1, np.int64)
+        wide = np.flatnonzero(hi - lo > NARROW)
+        at[wide] = self.level.find(wanted[wide], lo[wide], hi[wide])
+        # a few successors are compared one after the other
+        left = np.flatnonzero(hi - lo <= NARROW)
+        for k in range(NARROW):
+            left = left[lo[left] + k < hi[left]]
+            value = self.level.get(lo[left] + k)
+            hit = value == wanted[left]
+            at[left[hit]] = lo[left[hit]] + k
+            left = left[value < wanted[left]]
         code[ask[at >= 0]] = self.codes[at[at >= 0]]
         return code

@@ -1,16 +1,19 @@
-"""Language-model scores from a sharded Elias-Fano n-gram trie (eliasfano.Trie).
+"""Language-model scores from sharded Elias-Fano n-gram tries (eliasfano.Trie).
 
-The model is a bigram model with absolute discounting, interpolated with the additive unigram base:
-p(w | h) = max(c(h w) - d, 0) / c(h) + d n(h) / c(h) base(w); a context never seen leaves base(w). Probabilities are
-quantised to 8 bits. The first token's context is a start mark; every text ends with an end token.
+The model is a trigram model (ORDER) with absolute discounting, interpolated with the bigram's and that with the additive
+unigram base: p(w | h) = max(c(h w) - d, 0) / c(h) + d n(h) / c(h) p(w | h less its first word); c(h) counts h as a context. A
+context never seen leaves the lower order. Probabilities are quantised to 8 bits. The first token's context is a start mark,
+and it has no longer one; every text ends with an end token.
 
-1. Texts are cut into blocks inside Arrow batches. A block's distinct words and bigrams, with their counts in training
-   texts, go to the shards of their (context) word as one packed row for each shard.
-2. A shard adds up its rows, builds its trie and stores it, and answers each block's rows from the trie.
+1. Texts are cut into blocks inside Arrow batches. A block's distinct n-grams of each length, with their counts in training
+   texts, go to the shards of their context (all words but the last) as one packed row for each shard.
+2. A shard adds up its rows, builds the trie of its contexts and their successors and stores it, and answers each block's rows
+   from the trie. As shards go by whole contexts, a common word's trigrams are spread over many.
 3. The answers go back to their blocks, which are made again from the texts; a checksum shows that they are the same.
 
-Nothing is broadcast but four numbers, and no task holds more than a block or a shard; shards are as many as four times
-spark.sql.shuffle.partitions. A very common context has as many rows in its shard as it has different successors.
+Nothing is broadcast but four numbers, and no task holds more than a block or a shard; each order has four times
+spark.sql.shuffle.partitions shards. A very common word has as many bigrams in its shard as it has different successors.
+Words are known by 64 bits of their hash where they are counted, contexts of two words and successors within a context by 48.
 
 Nulls, empties, ties: a null or empty text is one end token; a null doc_id has checksum 0, so it is held out; repeated rows
 count as often as they occur. An empty table gives an empty result. With no training text every base probability is 1.
@@ -30,16 +33,50 @@ from pyspark.sql import functions as F
 from .common import blocks, crc_of_id, partitions, split_words, table, written
 from .eliasfano import Trie, mapped
 
+ORDER = 3
 DISCOUNT = 0.75
 BLOCK_BYTES = 12 << 20
 #: Hashes of the start mark and the end token; a word's hash is XXH64, never one of these but by chance of 2^-63.
 START, END = np.uint64(1), np.uint64(2)
 
 
+class Level:
+    """Distinct n-grams of one length in a block, by context and word: context and word of each, counts in training texts,
+    successors of each context, and each token's n-gram (-1: none)."""
+
+    def __init__(self, keys: np.ndarray, context: np.ndarray, token: np.ndarray, trained: np.ndarray, width: int):
+        some = np.flatnonzero(context >= 0)
+        gram, which = np.unique(context[some] * width + token[some], return_inverse=True)
+        self.keys, self.context, self.word = keys, gram // width, gram % width
+        self.at = np.full(len(token), -1, np.int64)
+        self.at[some] = which
+        self.counts = np.bincount(which, weights=trained[some], minlength=len(gram)).astype(np.int64)
+        self.children = np.bincount(self.context, minlength=len(keys))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def dealt(shard: np.ndarray, context: np.ndarray, wanted: np.ndarray):
+    """(shard, contexts, n-grams): which wanted contexts and which of the n-grams belong to each shard that has any."""
+    asked, of = shard[wanted], shard[context]
+    by_shard, of_gram = np.argsort(asked, kind="stable"), np.argsort(of, kind="stable")
+    some, context_cut = np.unique(asked[by_shard], return_index=True)
+    # no n-gram belongs to a shard without a wanted context
+    gram_cut = np.searchsorted(of[of_gram], some)
+    for k, (c, g) in enumerate(zip(np.split(wanted[by_shard], context_cut[1:]), np.split(of_gram, gram_cut[1:]), strict=True) if len(some) else ()):
+        yield int(some[k]), c, g
+
+
 class Block:
-    """Tokens of some texts as numbers of distinct bigrams."""
+    """Tokens of some texts as numbers of distinct n-grams of 2 to `order` words."""
 
-    def __init__(self, texts: pa.Array, train: np.ndarray, shards: int):
+    def __init__(self, texts: pa.Array, train: np.ndarray, order: int):
         flat, first = split_words(texts)
         coded = flat.dictionary_encode()
         digest = xxhash.xxh64_intdigest
@@ -50,26 +87,25 @@ class Block:
         self.first = np.concatenate(([0], np.cumsum(length + 1)))
         token = np.full(self.first[-1], v, np.int64)
         token[np.arange(len(flat)) + np.repeat(np.arange(n), length)] = np.asarray(coded.indices)
-        context = np.empty_like(token)
-        context[1:] = token[:-1]
-        context[self.first[:-1]] = v + 1
-        key, self.bigram = np.unique(context * (v + 2) + token, return_inverse=True)
-        self.context, self.word = key // (v + 2), key % (v + 2)
         trained = np.repeat(train, length + 1).astype(float)
-        self.pair_counts = np.bincount(self.bigram, weights=trained, minlength=len(key)).astype(np.int64)
         self.word_counts = np.bincount(token, weights=trained, minlength=v + 2).astype(np.int64)
-        self.shard = (self.hashes % np.uint64(shards)).astype(np.int64)
-        self.mark = xxhash.xxh64_intdigest(key.tobytes()) >> 1
+        keys, at, self.levels = self.hashes, token, []
+        for _ in range(order - 1):
+            before = np.empty_like(at)
+            before[1:] = at[:-1]
+            before[self.first[:-1]] = -1 if self.levels else v + 1
+            level = Level(keys, before, token, trained, v + 2)
+            self.levels.append(level)
+            keys, at = _mixed(level.keys[level.context], self.hashes[level.word]), level.at
+        self.mark = xxhash.xxh64_intdigest(token.tobytes() + self.hashes.tobytes()) >> 1
+
+    def wanted(self, k: int) -> np.ndarray:
+        """Contexts of level k that are asked for: all words, longer ones if something follows."""
+        return np.arange(len(self.hashes)) if k == 0 else np.flatnonzero(self.levels[k].children)
 
-    def parts(self):
-        """(shard, words, bigrams): which words and bigrams belong to each shard that has any."""
-        pair_shard = self.shard[self.context]
-        of_word, of_pair = np.argsort(self.shard, kind="stable"), np.argsort(pair_shard, kind="stable")
-        some = np.unique(self.shard)
-        word_cut = np.searchsorted(self.shard[of_word], np.append(some, some[-1] + 1))
-        pair_cut = np.searchsorted(pair_shard[of_pair], np.append(some, some[-1] + 1))
-        for k, s in enumerate(some.tolist()):
-            yield s, of_word[word_cut[k] : word_cut[k + 1]], of_pair[pair_cut[k] : pair_cut[k + 1]]
+    def shard(self, k: int, shards: int) -> np.ndarray:
+        """Shard of each context of level k: each level has shards of its own."""
+        return _narrow((self.levels[k].keys % np.uint64(shards)) + np.uint64(k * shards))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -93,29 +129,45 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _numbered(batches, shards: int):
+def _short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of hashes."""
+    return x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16)
+
+
+def _long(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
+def _numbered(batches, order: int):
     """(block number, record batch, Block) of a task's batches: the same again in every run over the same input."""
     where = TaskContext.get().partitionId() << 24
     for k, b in enumerate(blocks(batches, "text", BLOCK_BYTES)):
-        yield where + k, b, Block(b.column(b.schema.get_field_index("text")), np.asarray(b.column(b.schema.get_field_index("train")).to_numpy(zero_copy_only=False), bool), shards)
+        yield where + k, b, Block(b.column(b.schema.get_field_index("text")), np.asarray(b.column(b.schema.get_field_index("train")).to_numpy(zero_copy_only=False), bool), order)
 
 
-def requests(docs: DataFrame, shards: int) -> DataFrame:
-    """docs(text, train) -> (shard, block, mark, asked): distinct words and bigrams of each block, by shard."""
+def requests(docs: DataFrame, shards: int, order: int = ORDER) -> DataFrame:
+    """docs(text, train) -> (shard, block, mark, asked): distinct words and n-grams of each block, by shard."""
 
     def each(batches):
-        for number, _, block in _numbered(batches, shards):
-            rows = []
-            for s, words, pairs in block.parts():
-                place = np.zeros(len(block.hashes), np.int64)
-                place[words] = np.arange(len(words))
-                after, which = np.unique(block.word[pairs], return_inverse=True)
-                rows.append((s, _pack(block.hashes[words], _narrow(block.word_counts[words]), _narrow(place[block.context[pairs]]), block.hashes[after], _narrow(which), _narrow(block.pair_counts[pairs]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([block.mark] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block", "mark", "asked"])
+        for number, _, block in _numbered(batches, order):
+            for k, level in enumerate(block.levels):
+                rows = []
+                for s, contexts, grams in dealt(block.shard(k, shards), level.context, block.wanted(k)):
+                    after, which = np.unique(level.word[grams], return_inverse=True)
+                    keys = level.keys[contexts]
+                    named = (keys, _narrow(block.word_counts[contexts])) if k == 0 else _short(keys)
+                    rows.append((s, _pack(*named, _narrow(level.children[contexts]), *_short(block.hashes[after]), _narrow(which), _narrow(level.counts[grams]))))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([block.mark] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block", "mark", "asked"])
 
     return docs.select("text", "train").mapInArrow(each, "shard int, block long, mark long, asked binary")
 
 
+def _asked(data: bytes, words: bool) -> tuple:
+    """(contexts, their counts, children, successors, which, counts) of a request."""
+    a, b, children, low, high, which, counts = _unpack(data)
+    return (a, b, children, _long(low, high), which, counts) if words else (_long(a, b), np.zeros(len(a), np.uint8), children, _long(low, high), which, counts)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, place = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(place.reshape(-1), weights=counts, minlength=len(distinct)).astype(np.int64)
@@ -125,7 +177,7 @@ def build(asked: list[tuple], discount: float) -> Trie:
     """The trie of one shard's requests."""
     words, counts = _summed(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]))
     trained = [a[5] > 0 for a in asked]
-    context = np.searchsorted(words, np.concatenate([a[0][a[2][t]] for a, t in zip(asked, trained, strict=True)]))
+    context = np.concatenate([np.repeat(np.searchsorted(words, a[0]), a[2])[t] for a, t in zip(asked, trained, strict=True)])
     word = np.concatenate([a[3][a[4][t]] for a, t in zip(asked, trained, strict=True)])
     number = np.concatenate([a[5][t] for a, t in zip(asked, trained, strict=True)]).astype(np.int64)
     order = np.lexsort((word, context))
@@ -137,71 +189,94 @@ def build(asked: list[tuple], discount: float) -> Trie:
     return Trie.build(words, counts, context[heads], word[heads], number, discount)
 
 
-def answers(asked: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+def _used(codes: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes into those values of a table that they use."""
+    seen = np.zeros(len(book), bool)
+    seen[codes] = True
+    return (np.cumsum(seen) - 1)[codes].astype(np.uint8), book[seen]
+
+
+def answers(asked: DataFrame, shards: int, discount: float = DISCOUNT) -> DataFrame:
     """requests -> (shard, block, mark, answer), and for each shard a row of block -1: its trie as `answer`, its training
     tokens and word kinds."""
 
     def each(key, t):
-        got = [_unpack(x.as_py()) for x in t.column("asked")]
+        words = key[0].as_py() < shards
+        got = [_asked(x.as_py(), words) for x in t.column("asked")]
         made = build(got, discount)
         # the bytes that are stored are the ones that are searched, from a memory map
         stored = made.to_bytes()
         trie = Trie.read(mapped(stored))
         rows = []
-        for number, mark, (words, _, context, after, which, _) in zip(t.column("block").to_pylist(), t.column("mark").to_pylist(), got, strict=True):
-            count, mass = trie.look(words)
-            # masses and probabilities as codes into the shard's tables
-            rows.append((number, mark, _pack(_narrow(count), mass, trie.follow(words[context], after[which]), trie.mass_book, trie.book), 0, 0))
-        real = (np.asarray(made.counts) > 0).sum()
-        rows.append((-1, 0, stored, int(np.asarray(made.counts, np.int64).sum()), int(real)))
+        for number, mark, (contexts, _, children, after, which, _) in zip(t.column("block").to_pylist(), t.column("mark").to_pylist(), got, strict=True):
+            count, mass = trie.look(contexts)
+            rows.append((number, mark, _pack(_narrow(count if words else count[:0]), *_used(mass, trie.mass_book), *_used(trie.fan(contexts, children, after, which), trie.book)), 0, 0))
+        counts = np.asarray(made.counts, np.int64)
+        rows.append((-1, 0, stored, int(counts.sum()), int((counts > 0).sum())))
         cols = list(zip(*rows, strict=True))
         return pa.table({"shard": pa.array([key[0].as_py()] * len(rows), pa.int32()), "block": pa.array(cols[0], pa.int64()), "mark": pa.array(cols[1], pa.int64()), "answer": pa.array(cols[2], pa.binary()), "tokens": pa.array(cols[3], pa.int64()), "kinds": pa.array(cols[4], pa.int64())})
 
     return asked.groupBy("shard").applyInArrow(each, "shard int, block long, mark long, answer binary, tokens long, kinds long")
 
 
-def score(docs: DataFrame, shards: int | None = None, discount: float = DISCOUNT) -> DataFrame:
-    """docs(doc_id, text, train) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; learns from rows with train."""
+def score(docs: DataFrame, shards: int | None = None, discount: float = DISCOUNT, order: int = ORDER) -> DataFrame:
+    """docs(doc_id, text, train) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; learns from rows with train.
+    n-grams have 2 to `order` words."""
     spark = docs.sparkSession
     shards = shards or 4 * partitions(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = written(answers(requests(docs, shards), discount), "trie")
+    found = written(answers(requests(docs, shards, order), shards, discount), "trie")
     total = found.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     n, v = int(total[0]), int(total[1])
     rest = n + 0.1 * (v + 1)
 
     def tokens(batches):
-        for number, b, block in _numbered(batches, shards):
-            data = _pack(_narrow(block.bigram), _narrow(block.context), _narrow(block.word), block.hashes, block.first)
+        for number, b, block in _numbered(batches, order):
+            last = block.first[1:] - 1
+            # a token's shorter n-grams are the contexts of the next token's, but for a text's last one
+            told = [block.first, _narrow(block.levels[0].word), _narrow(block.levels[-1].at + 1)]
+            for k, level in enumerate(block.levels):
+                told += [_narrow(level.children), block.shard(k, shards), _narrow(level.at[last] + 1)]
             ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.mark], pa.int64()), ids, pa.array([data], pa.binary())], names=["block", "mark", "ids", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.mark], pa.int64()), ids, pa.array([_pack(*told)], pa.binary())], names=["block", "mark", "ids", "tokens"])
 
     def finish(batches):
         for b in batches:
             for mark, ids, data, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
-                bigram, context, word, hashes, first = _unpack(data.as_py())
-                shard = (hashes % np.uint64(shards)).astype(np.int64)
-                count, mass, prob = np.zeros(len(hashes)), np.zeros(len(hashes)), np.zeros(len(context))
+                first, word, at, *told = _unpack(data.as_py())
                 got = {p["shard"].as_py(): p for p in parts}
                 if any(p["mark"].as_py() != mark for p in got.values()):
                     raise RuntimeError("the input changed between two reads")
-                pair_shard = shard[context]
-                of_word, of_pair, some = np.argsort(shard, kind="stable"), np.argsort(pair_shard, kind="stable"), np.unique(shard)
-                word_cut = np.searchsorted(shard[of_word], np.append(some, some[-1] + 1))
-                pair_cut = np.searchsorted(pair_shard[of_pair], np.append(some, some[-1] + 1))
-                for k, s in enumerate(some.tolist()):
-                    c, m, p, mass_book, book = _unpack(got[s]["answer"].as_py())
-                    at = of_word[word_cut[k] : word_cut[k + 1]]
-                    count[at], mass[at] = c, mass_book[m]
-                    prob[of_pair[pair_cut[k] : pair_cut[k + 1]]] = book[p]
-                base = (count + 0.1) / rest
-                left = np.where(mass > 0, mass, 1.0)[context]
-                whole = np.log10(prob + left * base[word])[bigram]
+                levels = [(np.repeat(np.arange(len(children)), children), children, shard, last.astype(np.int64) - 1) for children, shard, last in zip(told[::3], told[1::3], told[2::3], strict=True)]
+                at = at.astype(np.int64) - 1
+                places = [at]
+                for k in range(len(levels) - 1, 0, -1):
+                    some = np.flatnonzero(at >= 0)
+                    shorter = np.full(len(at), -1, np.int64)
+                    shorter[some - 1] = levels[k][0][at[some]]
+                    shorter[first[1:] - 1] = levels[k - 1][3]
+                    at = shorter
+                    places.insert(0, at)
+                chance = None
+                for k, ((context, children, shard, _), at) in enumerate(zip(levels, places, strict=True)):
+                    left, prob, count = np.ones(len(children)), np.zeros(len(context)), np.zeros(len(children))
+                    for s, contexts, grams in dealt(shard, context, np.flatnonzero(children) if k else np.arange(len(children))):
+                        c, m, mass_book, p, book = _unpack(got[s]["answer"].as_py())
+                        mass = mass_book[m]
+                        left[contexts], prob[grams] = np.where(mass > 0, mass, 1.0), book[p]
+                        if k == 0:
+                            count[contexts] = c
+                    if k == 0:
+                        token = word[at]
+                        known, base = count[token] > 0, ((count + 0.1) / rest)[token]
+                        chance = base
+                    some = np.flatnonzero(at >= 0)
+                    chance = chance.copy()
+                    chance[some] = prob[at[some]] + left[context][at[some]] * chance[some]
                 length = np.diff(first)
                 doc = np.repeat(np.arange(len(length)), length)
                 per = lambda x: np.bincount(doc, weights=x, minlength=len(length))
-                known = per((count[word] > 0)[bigram].astype(float)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(length.astype(np.int64)), pa.array(known), pa.array(np.full(len(length), n)), pa.array(per(np.log10(base)[word][bigram])), pa.array(per(whole))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(length.astype(np.int64)), pa.array(per(known).astype(np.int64)), pa.array(np.full(len(length), n)), pa.array(per(np.log10(base))), pa.array(per(np.log10(chance)))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kept = docs.select("doc_id", "text", "train").mapInArrow(tokens, f"block long, mark long, ids array<{kind}>, tokens binary")
     back = found.where("block >= 0").groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("shard", "mark", "answer")).alias("parts"))

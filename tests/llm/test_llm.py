@@ -268,30 +268,41 @@ def test_trie_maps_from_file(tmp_path):
 def test_language_model(spark):
     docs = [r for r in awkward(spark).collect()] + [(i, " ".join(random.Random(i).choices("ab cd ef gh ij kl".split(), k=40)), "en", "s", 1) for i in range(20, 60)]
     df = spark.createDataFrame([tuple(r) for r in docs], DOCS).withColumn("train", F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 10 != 0)
-    out = lm.score(df, shards=5).collect()
-    assert len(out) == len(docs)
     train = [fold(r["text"]) + [None] for r in df.collect() if r["train"]]
     c = collections.Counter(w for t in train for w in t)
-    pairs = collections.Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
-    after, kinds = collections.Counter(), collections.Counter()
-    for (h, _), k in pairs.items():
+    grams, after, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in train:
+        for i, w in enumerate(t):
+            for h in (("<s>", *t)[i : i + 1], tuple(t[i - 2 : i]) if i > 1 else ("<s>", t[0]) if i == 1 else ()):
+                if h:
+                    grams[h, w] += 1
+    for (h, _), k in grams.items():
         after[h] += k
         kinds[h] += 1
     n, v = sum(c.values()), len(c)
     base = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
 
     def p(h, w):
-        return base(w) if not after[h] else max(pairs[h, w] - 0.75, 0) / after[h] + 0.75 * kinds[h] / after[h] * base(w)
+        if not h:
+            return base(w)
+        lower = p(h[1:], w)
+        return lower if not after[h] else max(grams[h, w] - 0.75, 0) / after[h] + 0.75 * kinds[h] / after[h] * lower
 
     texts = collections.defaultdict(list)
     for r in df.collect():
         texts[r["doc_id"]].append(r["text"])
-    for r in out:
-        t = fold(texts[r["doc_id"]][0]) + [None]
-        assert r["n_tokens"] == len(t) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in t)
-        assert r["base_score"] == pytest.approx(sum(math.log10(base(w)) for w in t), rel=1e-9)
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t, strict=False)), abs=0.02 * len(t))
+    for order in (2, 3):
+        out = lm.score(df, shards=5, order=order).collect()
+        assert len(out) == len(docs)
+        for r in out:
+            t = fold(texts[r["doc_id"]][0]) + [None]
+            assert r["n_tokens"] == len(t) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in t)
+            assert r["base_score"] == pytest.approx(sum(math.log10(base(w)) for w in t), rel=1e-9)
+            said = ["<s>", *t]
+            assert r["score"] == pytest.approx(sum(math.log10(p(tuple(said[max(0, i - order + 2) : i + 1]), w)) for i, w in enumerate(t)), abs=0.02 * len(t))
     assert lm.score(df.limit(0), shards=3).collect() == []
+    bare = spark.createDataFrame([(1, "", True), (2, None, True), (3, "", False)], "doc_id long, text string, train boolean")
+    assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in lm.score(bare, shards=3).collect()} == {(1, 1, 1, 2), (2, 1, 1, 2), (3, 1, 1, 2)}
 
 
 def test_neighbours(spark):
