@@ -9,8 +9,19 @@ import numpy as np
 U64 = np.uint64
 #: Ranges of up to this many successors are read through, wider ones are searched.
 NARROW = 4
-#: SELECT[byte * 8 + r]: place of the r-th (from 0) set bit of a byte.
-SELECT = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[r] for x in range(256) for r in range(8)], np.uint8)
+
+
+def selected(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the rank-th (from 0) set bit of 64-bit words, by halving."""
+    word, rank, place = word.copy(), rank.astype(np.int64), np.zeros(len(word), np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        count = np.bitwise_count(word & U64((1 << width) - 1))
+        beyond = rank >= count
+        rank -= count * beyond
+        step = beyond * width
+        place += step
+        word >>= step.astype(U64)
+    return place
 
 
 class EliasFano:
@@ -64,13 +75,7 @@ class EliasFano:
         """How many elements stand before the k-th (from 0) zero of the high bits: those whose high part is at most k."""
         word = np.searchsorted(self.zeros, k, side="right")
         rest = k - np.where(word > 0, self.zeros[np.maximum(word - 1, 0)], 0)
-        octets = (~self.high[word]).view(np.uint8).reshape(-1, 8)
-        count = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        octet = (count <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(octet > 0, count[rows, np.maximum(octet - 1, 0)], 0)
-        place = word * 64 + octet * 8 + SELECT[octets[rows, octet].astype(np.int64) * 8 + rest]
-        return place - k
+        return word * 64 + selected(~self.high[word], rest) - k
 
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Index of each x, -1 where it isn't there: a successor search among the elements with the same high part, and
@@ -106,12 +111,7 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         word = np.searchsorted(self.ones, i, side="right")
         rest = i - np.where(word > 0, self.ones[np.maximum(word - 1, 0)], 0)
-        octets = self.high[word].copy().view(np.uint8).reshape(-1, 8)
-        count = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        octet = (count <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(i))
-        rest = rest - np.where(octet > 0, count[rows, np.maximum(octet - 1, 0)], 0)
-        place = word * 64 + octet * 8 + SELECT[octets[rows, octet].astype(np.int64) * 8 + rest]
+        place = word * 64 + selected(self.high[word], rest)
         return ((place - i).astype(U64) << U64(self.low_bits)) | self.lows(i)
 
 

@@ -13,7 +13,8 @@ and it has no longer one; every text ends with an end token.
 
 Nothing is broadcast but four numbers, and no task holds more than a block or a shard; each order has four times
 spark.sql.shuffle.partitions shards. A very common word has as many bigrams in its shard as it has different successors.
-Words are known by 64 bits of their hash where they are counted, contexts of two words and successors within a context by 48.
+Words are known by 64 bits of their hash where they are counted, contexts of two words by 48 and successors within a context by 36.
+A context never meets those of other shards, nor a successor those of other contexts.
 
 Nulls, empties, ties: a null or empty text is one end token; a null doc_id has checksum 0, so it is held out; repeated rows
 count as often as they occur. An empty table gives an empty result. With no training text every base probability is 1.
@@ -36,18 +37,20 @@ from .eliasfano import Trie, mapped
 ORDER = 3
 DISCOUNT = 0.75
 BLOCK_BYTES = 12 << 20
+#: Bits of hashes that are sent for contexts of several words and for successors.
+CONTEXT_BITS, WORD_BITS = 48, 36
 #: Hashes of the start mark and the end token; a word's hash is XXH64, never one of these but by chance of 2^-63.
-START, END = np.uint64(1), np.uint64(2)
+START, END = np.uint64((1 << 64) - 1), np.uint64((1 << 64) - 2)
 
 
 class Level:
     """Distinct n-grams of one length in a block, by context and word: context and word of each, counts in training texts,
-    successors of each context, and each token's n-gram (-1: none)."""
+    successors of each context, and each token's n-gram (-1: none). A context's key finds its shard, its name is known there."""
 
-    def __init__(self, keys: np.ndarray, context: np.ndarray, token: np.ndarray, trained: np.ndarray, width: int):
+    def __init__(self, keys: np.ndarray, names: np.ndarray, context: np.ndarray, token: np.ndarray, trained: np.ndarray, width: int):
         some = np.flatnonzero(context >= 0)
         gram, which = np.unique(context[some] * width + token[some], return_inverse=True)
-        self.keys, self.context, self.word = keys, gram // width, gram % width
+        self.keys, self.names, self.context, self.word = keys, names, gram // width, gram % width
         self.at = np.full(len(token), -1, np.int64)
         self.at[some] = which
         self.counts = np.bincount(which, weights=trained[some], minlength=len(gram)).astype(np.int64)
@@ -76,28 +79,26 @@ def dealt(shard: np.ndarray, context: np.ndarray, wanted: np.ndarray):
 class Block:
     """Tokens of some texts as numbers of distinct n-grams of 2 to `order` words."""
 
-    def __init__(self, texts: pa.Array, train: np.ndarray, order: int):
-        flat, first = split_words(texts)
-        coded = flat.dictionary_encode()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
-        n, v = len(first) - 1, len(hashes)
-        self.hashes = np.concatenate((hashes, [END, START]))
-        length = np.diff(first)
-        self.first = np.concatenate(([0], np.cumsum(length + 1)))
-        token = np.full(self.first[-1], v, np.int64)
-        token[np.arange(len(flat)) + np.repeat(np.arange(n), length)] = np.asarray(coded.indices)
-        trained = np.repeat(train, length + 1).astype(float)
-        self.word_counts = np.bincount(token, weights=trained, minlength=v + 2).astype(np.int64)
-        keys, at, self.levels = self.hashes, token, []
+    def __init__(self, hashes: np.ndarray, token: np.ndarray, first: np.ndarray, train: np.ndarray, order: int):
+        """Words and marks are numbered by their hashes, so that those of any selection rise."""
+        by_hash = np.argsort(hashes)
+        self.hashes, self.first = hashes[by_hash], first
+        rank = np.empty_like(by_hash)
+        rank[by_hash] = np.arange(len(hashes))
+        token, v = rank[token], len(hashes)
+        trained = np.repeat(train, np.diff(first)).astype(float)
+        self.word_counts = np.bincount(token, weights=trained, minlength=v).astype(np.int64)
+        keys, names, at, self.levels = self.hashes, self.hashes, token, []
         for _ in range(order - 1):
             before = np.empty_like(at)
             before[1:] = at[:-1]
-            before[self.first[:-1]] = -1 if self.levels else v + 1
-            level = Level(keys, before, token, trained, v + 2)
+            # the start mark has the largest hash
+            before[first[:-1]] = -1 if self.levels else v - 1
+            level = Level(keys, names, before, token, trained, v)
             self.levels.append(level)
             keys, at = _mixed(level.keys[level.context], self.hashes[level.word]), level.at
-        self.mark = xxhash.xxh64_intdigest(token.tobytes() + self.hashes.tobytes()) >> 1
+            half = np.uint64(64 - CONTEXT_BITS // 2)
+            names = (level.keys[level.context] >> half << half) | (self.hashes[level.word] >> half << np.uint64(64 - CONTEXT_BITS))
 
     def wanted(self, k: int) -> np.ndarray:
         """Contexts of level k that are asked for: all words, longer ones if something follows."""
@@ -129,43 +130,57 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """48 bits of hashes."""
-    return x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16)
+def _gaps(x: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The first bits of hashes as gaps from one to the next, byte by byte; least where hashes rise."""
+    gap = np.diff(x >> np.uint64(64 - bits), prepend=np.uint64(0)) & np.uint64((1 << bits) - 1)
+    wide = (int(gap.max()).bit_length() + 7) // 8 if len(gap) else 0
+    return np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :wide].T)
 
 
-def _long(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+def _risen(planes: np.ndarray, bits: int = 64) -> np.ndarray:
+    gap = np.zeros((planes.shape[1], 8), np.uint8)
+    gap[:, : planes.shape[0]] = planes.T
+    return np.cumsum(gap.view(np.uint64).reshape(-1), dtype=np.uint64) & np.uint64((1 << bits) - 1)
 
 
-def _numbered(batches, order: int):
-    """(block number, record batch, Block) of a task's batches: the same again in every run over the same input."""
+def _numbered(batches):
+    """(block number, record batch, hashes, token, first, mark) of a task's batches: the same again in every run over the
+    same input. Tokens are numbered in the order in which words come, then the end and the start."""
     where = TaskContext.get().partitionId() << 24
     for k, b in enumerate(blocks(batches, "text", BLOCK_BYTES)):
-        yield where + k, b, Block(b.column(b.schema.get_field_index("text")), np.asarray(b.column(b.schema.get_field_index("train")).to_numpy(zero_copy_only=False), bool), order)
+        flat, first = split_words(b.column(b.schema.get_field_index("text")))
+        coded = flat.dictionary_encode()
+        digest = xxhash.xxh64_intdigest
+        hashes = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+        length = np.diff(first)
+        token = np.full(len(flat) + len(length), len(hashes), np.int64)
+        token[np.arange(len(flat)) + np.repeat(np.arange(len(length)), length)] = np.asarray(coded.indices)
+        hashes = np.concatenate((hashes, [END, START]))
+        yield where + k, b, hashes, token, np.concatenate(([0], np.cumsum(length + 1))), xxhash.xxh64_intdigest(token.tobytes() + hashes.tobytes()) >> 1
 
 
 def requests(docs: DataFrame, shards: int, order: int = ORDER) -> DataFrame:
     """docs(text, train) -> (shard, block, mark, asked): distinct words and n-grams of each block, by shard."""
 
     def each(batches):
-        for number, _, block in _numbered(batches, order):
+        for number, b, hashes, token, first, mark in _numbered(batches):
+            block = Block(hashes, token, first, np.asarray(b.column(b.schema.get_field_index("train")).to_numpy(zero_copy_only=False), bool), order)
             for k, level in enumerate(block.levels):
                 rows = []
                 for s, contexts, grams in dealt(block.shard(k, shards), level.context, block.wanted(k)):
                     after, which = np.unique(level.word[grams], return_inverse=True)
-                    keys = level.keys[contexts]
-                    named = (keys, _narrow(block.word_counts[contexts])) if k == 0 else _short(keys)
-                    rows.append((s, _pack(*named, _narrow(level.children[contexts]), *_short(block.hashes[after]), _narrow(which), _narrow(level.counts[grams]))))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([block.mark] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block", "mark", "asked"])
+                    counts = block.word_counts[contexts] if k == 0 else np.zeros(0, np.int64)
+                    rows.append((s, _pack(_gaps(level.names[contexts], 64 if k == 0 else CONTEXT_BITS), _narrow(counts), _narrow(level.children[contexts]), _gaps(block.hashes[after], WORD_BITS), _narrow(which), _narrow(level.counts[grams]))))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([mark] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block", "mark", "asked"])
 
     return docs.select("text", "train").mapInArrow(each, "shard int, block long, mark long, asked binary")
 
 
 def _asked(data: bytes, words: bool) -> tuple:
     """(contexts, their counts, children, successors, which, counts) of a request."""
-    a, b, children, low, high, which, counts = _unpack(data)
-    return (a, b, children, _long(low, high), which, counts) if words else (_long(a, b), np.zeros(len(a), np.uint8), children, _long(low, high), which, counts)
+    contexts, counts, children, after, which, times = _unpack(data)
+    contexts = _risen(contexts, 64 if words else CONTEXT_BITS)
+    return contexts, counts if words else np.zeros(len(contexts), np.uint8), children, _risen(after, WORD_BITS), which, times
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +211,9 @@ def _used(codes: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(seen) - 1)[codes].astype(np.uint8), book[seen]
 
 
-def answers(asked: DataFrame, shards: int, discount: float = DISCOUNT) -> DataFrame:
-    """requests -> (shard, block, mark, answer), and for each shard a row of block -1: its trie as `answer`, its training
-    tokens and word kinds."""
+def answers(asked: DataFrame, shards: int, discount: float = DISCOUNT, keep: bool = False) -> DataFrame:
+    """requests -> (shard, block, mark, answer), and for each shard a row of block -1: its training tokens and word kinds, and
+    its trie as `answer` if the model is to be kept."""
 
     def each(key, t):
         words = key[0].as_py() < shards
@@ -212,68 +227,55 @@ def answers(asked: DataFrame, shards: int, discount: float = DISCOUNT) -> DataFr
             count, mass = trie.look(contexts)
             rows.append((number, mark, _pack(_narrow(count if words else count[:0]), *_used(mass, trie.mass_book), *_used(trie.fan(contexts, children, after, which), trie.book)), 0, 0))
         counts = np.asarray(made.counts, np.int64)
-        rows.append((-1, 0, stored, int(counts.sum()), int((counts > 0).sum())))
+        rows.append((-1, 0, stored if keep else None, int(counts.sum()), int((counts > 0).sum())))
         cols = list(zip(*rows, strict=True))
         return pa.table({"shard": pa.array([key[0].as_py()] * len(rows), pa.int32()), "block": pa.array(cols[0], pa.int64()), "mark": pa.array(cols[1], pa.int64()), "answer": pa.array(cols[2], pa.binary()), "tokens": pa.array(cols[3], pa.int64()), "kinds": pa.array(cols[4], pa.int64())})
 
     return asked.groupBy("shard").applyInArrow(each, "shard int, block long, mark long, answer binary, tokens long, kinds long")
 
 
-def score(docs: DataFrame, shards: int | None = None, discount: float = DISCOUNT, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, shards: int | None = None, discount: float = DISCOUNT, order: int = ORDER, keep: bool = False) -> DataFrame:
     """docs(doc_id, text, train) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; learns from rows with train.
-    n-grams have 2 to `order` words."""
+    n-grams have 2 to `order` words. With keep the tries stay in the table `trie` of the shared folder."""
     spark = docs.sparkSession
     shards = shards or 4 * partitions(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = written(answers(requests(docs, shards, order), shards, discount), "trie")
+    found = written(answers(requests(docs, shards, order), shards, discount, keep), "trie")
     total = found.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     n, v = int(total[0]), int(total[1])
     rest = n + 0.1 * (v + 1)
 
     def tokens(batches):
-        for number, b, block in _numbered(batches, order):
-            last = block.first[1:] - 1
-            # a token's shorter n-grams are the contexts of the next token's, but for a text's last one
-            told = [block.first, _narrow(block.levels[0].word), _narrow(block.levels[-1].at + 1)]
-            for k, level in enumerate(block.levels):
-                told += [_narrow(level.children), block.shard(k, shards), _narrow(level.at[last] + 1)]
+        for number, b, hashes, token, first, mark in _numbered(batches):
             ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.mark], pa.int64()), ids, pa.array([_pack(*told)], pa.binary())], names=["block", "mark", "ids", "tokens"])
+            data = _pack(hashes, np.ascontiguousarray(token.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), _narrow(np.diff(first)))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([mark], pa.int64()), ids, pa.array([data], pa.binary())], names=["block", "mark", "ids", "tokens"])
 
     def finish(batches):
         for b in batches:
             for mark, ids, data, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
-                first, word, at, *told = _unpack(data.as_py())
+                hashes, planes, length = _unpack(data.as_py())
+                first = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+                token = np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1).astype(np.int64)
                 got = {p["shard"].as_py(): p for p in parts}
                 if any(p["mark"].as_py() != mark for p in got.values()):
                     raise RuntimeError("the input changed between two reads")
-                levels = [(np.repeat(np.arange(len(children)), children), children, shard, last.astype(np.int64) - 1) for children, shard, last in zip(told[::3], told[1::3], told[2::3], strict=True)]
-                at = at.astype(np.int64) - 1
-                places = [at]
-                for k in range(len(levels) - 1, 0, -1):
-                    some = np.flatnonzero(at >= 0)
-                    shorter = np.full(len(at), -1, np.int64)
-                    shorter[some - 1] = levels[k][0][at[some]]
-                    shorter[first[1:] - 1] = levels[k - 1][3]
-                    at = shorter
-                    places.insert(0, at)
-                chance = None
-                for k, ((context, children, shard, _), at) in enumerate(zip(levels, places, strict=True)):
-                    left, prob, count = np.ones(len(children)), np.zeros(len(context)), np.zeros(len(children))
-                    for s, contexts, grams in dealt(shard, context, np.flatnonzero(children) if k else np.arange(len(children))):
+                block = Block(hashes, token, first, np.zeros(len(length), bool), order)
+                for k, level in enumerate(block.levels):
+                    left, prob, count = np.ones(len(level.keys)), np.zeros(len(level.context)), np.zeros(len(level.keys))
+                    for s, contexts, grams in dealt(block.shard(k, shards), level.context, block.wanted(k)):
                         c, m, mass_book, p, book = _unpack(got[s]["answer"].as_py())
                         mass = mass_book[m]
                         left[contexts], prob[grams] = np.where(mass > 0, mass, 1.0), book[p]
                         if k == 0:
                             count[contexts] = c
                     if k == 0:
-                        token = word[at]
-                        known, base = count[token] > 0, ((count + 0.1) / rest)[token]
-                        chance = base
-                    some = np.flatnonzero(at >= 0)
-                    chance = chance.copy()
-                    chance[some] = prob[at[some]] + left[context][at[some]] * chance[some]
-                length = np.diff(first)
+                        seen = count[level.word][level.at]
+                        known, base = seen > 0, (seen + 0.1) / rest
+                        chance = base.copy()
+                    some = np.flatnonzero(level.at >= 0)
+                    at = level.at[some]
+                    chance[some] = prob[at] + left[level.context][at] * chance[some]
                 doc = np.repeat(np.arange(len(length)), length)
                 per = lambda x: np.bincount(doc, weights=x, minlength=len(length))
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(length.astype(np.int64)), pa.array(per(known).astype(np.int64)), pa.array(np.full(len(length), n)), pa.array(per(np.log10(base))), pa.array(per(np.log10(chance)))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
