@@ -36,7 +36,7 @@ from .eliasfano import Trie, mapped
 
 ORDER = 3
 DISCOUNT = 0.75
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of hashes that are sent for contexts of several words and for successors.
 CONTEXT_BITS, WORD_BITS = 48, 36
 #: Hashes of the start mark and the end token; a word's hash is XXH64, never one of these but by chance of 2^-63.
