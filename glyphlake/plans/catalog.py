@@ -453,4 +453,4 @@ def ensemble_trust(spark, d):
 
 
 # registers its queries in the tables above
-from . import lines as _lines, photos as _photos, rules as _rules, shapes as _shapes, states as _states, stores as _stores  # noqa: E402, F401
+from . import lines as _lines, photos as _photos, rules as _rules, scores as _scores, shapes as _shapes, states as _states, stores as _stores  # noqa: E402, F401

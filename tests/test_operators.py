@@ -188,3 +188,20 @@ def test_ranks_hold_hot_values_and_null_keys(spark):
         mine = {r["q"]: r["value"] for r in got if r["k"] == k}
         assert mine == {q: values[min(len(values) - 1, int(len(values) * q))] for q in aggregate.QUANTILES}
     assert aggregate.ranked_quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v").collect() == []
+
+
+def test_scores_of_reads(spark):
+    from glyphlake.operators import scoring
+
+    reads = spark.createDataFrame([(1, 5, "b"), (1, 2, "a"), (1, 9, "c"), (2, 1, None)], "k int, at int, text string")
+    truths = spark.createDataFrame([(1, 1, "a"), (1, 2, "x"), (2, 1, ""), (3, 1, "z")], "k int, at int, text string")
+    pairs = scoring.zipped(reads, truths, ["k"], "at", "text")
+    assert sorted((r.k, r.pos, r.read or "", r.truth) for r in pairs.collect()) == [(1, 0, "a", "a"), (1, 1, "b", "x"), (2, 0, "", "")]
+    told = {r.k: (r.lines, r.letters, r.hits, r.letter_rate, r.line_rate) for r in scoring.hit_rates(pairs, ["k"]).collect()}
+    assert told == {1: (2, 2, 1, 0.5, 0.5), 2: (1, 0, 0, 0.0, 1.0)}
+    lines = [("p", 90.0, 0.9, False), ("p", 100.0, 0.5, False), ("q", 95.0, -1.0, None), ("g", 10.0, 0.1, True)]
+    card = scoring.photo_card(spark.createDataFrame([("x", *r) for r in lines], "k string, photo string, score double, trust double, gauge boolean"), ["k"], "photo", "score", "trust", "gauge").first()
+    assert card.asDict() == {"k": "x", "photos": 2, "mean": 95.0, "low": 95.0, "reached": 2, "worst": "p", "unsure": 1, "gated": 70.0, "gauge_photos": 1, "gauge_mean": 10.0}
+    boxes = spark.createDataFrame([(1, 0, 30), (1, 1, 10), (1, 2, 5), (1, 3, 10)], "k int, cut int, top int")
+    assert sorted((r.cut, r.place) for r in scoring.first_lines(boxes, ["k"], "cut", "top", 2).collect()) == [(0, 1), (1, 0)]
+    assert scoring.hit_rates(pairs.limit(0), ["k"]).count() == 0
