@@ -318,3 +318,35 @@ def test_extraction_of_given_pages(spark):
             plain = re.sub(r"<[^>]*>", " ", re.sub(r"<(script|style)\b.*?</\1>", "", inner[1], flags=re.S))
             right.append(html.unescape(plain).split() == got[r["page_id"]].split())
     assert len(right) > 30 and sum(right) >= 0.98 * len(right)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_passages_whose_seeds_all_are_crowded(spark, parts):
+    r = random.Random(3)
+    own = lambda n: words(r, n)
+    head, tail, mid = own(12), own(12), own(40)
+    data = [(i, " ".join(own(30) + (head if i % 2 else tail) + own(30))) for i in range(12)]
+    data += [(20, " ".join(own(30) + head + mid + tail + own(20))), (21, " ".join(own(10) + head + [w if k % 8 else own(1)[0] for k, w in enumerate(mid)] + tail + own(30)))]
+    got = passages.repeated(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()
+    assert [(x["doc_id"], x["other_id"], x["n_words"]) for x in got] == [(21, 20, 64)]
+
+
+def test_surroundings_that_match_are_never_ruled_out():
+    r, size, side = random.Random(4), 50, 50 - passages.K
+    for _ in range(200):
+        a = [r.randrange(1, 256) for _ in range(side)], [r.randrange(1, 256) for _ in range(side)]
+        left, b, spare = r.randrange(side + 1), [], 10
+        for part, n in zip(a, (left, side - left), strict=True):
+            out, extra = [], 0
+            for v in part[:n]:
+                kind = r.randrange(4) if spare else 3
+                spare -= kind < 3
+                extra += kind == 1
+                out += [[0], [0, v], [], [v]][kind]
+            b.append((out + [0] * side)[:side])
+        row = lambda p: np.array([p[0] + p[1]], np.uint8)
+        kept = sum(v in p for p, v in ((b[k], v) for k, n in ((0, left), (1, side - left)) for v in a[k][:n]))
+        if kept >= 32:
+            assert passages.may_pass(row(a), row(b), size, 0.8).all()
+    far = np.array([[r.randrange(1, 256) for _ in range(2 * side)] for _ in range(40)], np.uint8)
+    assert passages.may_pass(far, far, size, 0.8).diagonal().all() and passages.may_pass(far, far, size, 0.8).sum() < 60
