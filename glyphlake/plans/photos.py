@@ -52,8 +52,7 @@ def _photos(spark, d):
 @query(f"""WITH {_CELLS} SELECT page::BIGINT AS page, pos::INT AS pos, rw::INT AS "row", x0::INT AS "left", top::INT AS top, (x0 + {STROKE} * (n - 1) + 1)::INT AS "right", bottom::INT AS bottom FROM l""")
 def photo_lines(spark, d):
     """Lines of writing of photos that lie on their side, with a shadow, two columns and lines that touch."""
-    pages = segment.ready(pictures.read(_photos(spark, d)), segment.flattened)
-    return segment.writing(pages, None, 0).drop("pix")
+    return reading.lined(_photos(spark, d), segment.flattened, None, 0, cropped=False)
 
 
 def strokes(cells: list[bytes]) -> list[str]:
