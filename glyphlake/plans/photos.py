@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import reading, segment
-from ..session import table
+from ..session import dealt, table
 from ..sources import pictures
 from .catalog import query
 
@@ -45,8 +45,7 @@ def _photos(spark, d):
                 turn = int(page % 8 + 1)
                 yield pd.DataFrame({"page": [page], "content": [pictures.encoded(back[turn](drawn(page, lines)), turn)]})
 
-    dealt = pages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page")
-    return dealt.mapInPandas(photo, "page long, content binary")
+    return dealt(pages, "page").mapInPandas(photo, "page long, content binary")
 
 
 @query(f"""WITH {_CELLS} SELECT page::BIGINT AS page, pos::INT AS pos, rw::INT AS "row", x0::INT AS "left", top::INT AS top, (x0 + {STROKE} * (n - 1) + 1)::INT AS "right", bottom::INT AS bottom FROM l""")

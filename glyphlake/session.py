@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "glyphlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df over as many tasks as the session shuffles into, for rows that are small and cost much. By a hash of the key: a
+    shuffle by the key itself is dropped where df is spread by it already, and rows then stay in as few tasks as their bytes need."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
+
+
 _local: dict[str, str] = {}
 
 
