@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import grammar
 from ..operators.aggregate import PRIME
-from ..session import table
+from ..session import dealt, table
 from .catalog import query
 from .rules import _hashes
 
@@ -104,6 +104,7 @@ SELECT doc_id, md5(regexp_replace({_taken('t')}, '\s+', '', 'g')) AS tight, cont
 def hangul_rules(spark, d):
     """Documents whose letters are turned to Hangul: taken apart and tightened, whether a jamo stands alone, lines without any."""
     text = F.translate(T.ascii_fold(F.lower("text")), "".join(_LETTERS), "".join(_LETTERS.values()))
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(text)).alias("t"))
+    # a small file is one task's
+    rows = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.array(text)).alias("t"))
     kept = F.size(F.filter(F.split("t", "\n"), lambda x: (x != "") & ~T.bare_jamo(x))).cast("long")
     return rows.select("doc_id", F.md5(F.encode(T.tight(T.nfd_hangul(F.col("t"))), "UTF-8")).alias("tight"), T.bare_jamo(F.col("t")).alias("bare"), kept.alias("kept"))
