@@ -8,7 +8,7 @@ for an archive that can't be read, at its first stretch). Folders and resource f
 are rows of their own; empty members have empty content; a folder without archives gives no rows.
 
 Writing takes name and content (null content: empty; a null name raises; other columns are refused) and puts an archive for
-each task into a folder. A list of the archives is renamed into place when all tasks are done, and readers go by that list: an
+each MEMBERS rows of a task into a folder. A list of the archives is renamed into place when all tasks are done, and readers go by that list: an
 attempt that was lost, or a job that failed, leaves nothing that is read. Overwriting puts a new list in place, then removes the
 archives of the old one; appending lists both. Paths are whatever pyarrow's file systems open.
 """
@@ -20,6 +20,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as afs
@@ -31,6 +32,8 @@ LISTING = "_members.json"
 SCHEMA = "path string, name string, size long, content binary"
 #: Bytes of a stretch of an archive, and of members in one Arrow batch.
 SPLIT, BATCH = 64 << 20, 16 << 20
+#: Members of an archive that is written; a task begins another after it, so no task holds or reads a longer directory.
+MEMBERS = 10_000
 
 
 def located(path: str) -> tuple[afs.FileSystem, str]:
@@ -58,7 +61,7 @@ class Stretch(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class MembersReader(DataSourceReader):
@@ -130,14 +133,17 @@ class MembersWriter(DataSourceWriter):
         files, at = located(self.path)
         first = next(rows, None)
         if first is None:
-            return Written(None)
+            return Written([])
         files.create_dir(at, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.zip"
-        with files.open_output_stream(f"{at}/{name}") as f, zipfile.ZipFile(f, "w", self.packing) as z:
-            self._put(z, first)
-            for row in rows:
-                self._put(z, row)
-        return Written(name)
+        names = []
+        while first is not None:
+            names.append(f"part-{uuid.uuid4().hex}.zip")
+            with files.open_output_stream(f"{at}/{names[-1]}") as f, zipfile.ZipFile(f, "w", self.packing) as z:
+                self._put(z, first)
+                for row in islice(rows, MEMBERS - 1):
+                    self._put(z, row)
+            first = next(rows, None)
+        return Written(names)
 
     def _put(self, z: zipfile.ZipFile, row) -> None:
         if row["name"] is None:
@@ -149,7 +155,7 @@ class MembersWriter(DataSourceWriter):
         files, at = located(self.path)
         files.create_dir(at, recursive=True)
         old = listed(files, at)
-        new = sorted(m.name for m in messages if m is not None and m.name)
+        new = sorted(name for m in messages if m is not None for name in m.names)
         fresh = f"{at}/{LISTING}-{uuid.uuid4().hex}"
         with files.open_output_stream(fresh) as f:
             f.write(json.dumps(new if self.overwrite else sorted(old + new)).encode())
@@ -159,7 +165,7 @@ class MembersWriter(DataSourceWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         files, at = located(self.path)
-        self._drop(files, at, [m.name for m in messages if m is not None and m.name])
+        self._drop(files, at, [name for m in messages if m is not None for name in m.names])
 
     @staticmethod
     def _drop(files: afs.FileSystem, at: str, names: list[str]) -> None:

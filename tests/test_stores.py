@@ -106,3 +106,15 @@ def test_event_stream(spark):
     got = [r[0] for r in frame.select(payload.event_stream(frame.t, "m")).collect()]
     assert all(g.endswith("data: [DONE]\n\n") and g.count("data: ") == 3 for g in got)
     assert '"content":"say \\"가\\""' in got[0] and got[1] == got[2]
+
+
+def test_a_task_begins_another_archive(spark, tmp_path, monkeypatch):
+    from glyphlake.sources import archives
+
+    monkeypatch.setattr(archives, "MEMBERS", 4)
+    writer = archives.MembersWriter({"path": f"{tmp_path}/a"}, spark.createDataFrame([], "name string, content binary").schema, True)
+    done = writer.write(iter([{"name": f"m{k}", "content": b"x"} for k in range(9)]))
+    writer.commit([done, None, archives.Written([])])
+    archives.register(spark)
+    rows = spark.read.format("members").load(f"{tmp_path}/a").collect()
+    assert len(done.names) == 3 and sorted(r.name for r in rows) == [f"m{k}" for k in range(9)] and len({r.path for r in rows}) == 3
