@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,32 @@ def test_twins_against_all_pairs(spark):
     assert got == want and len(want) > 30
 
 
+@pytest.mark.parametrize("wide", [1, 3])
+def test_twins_of_packs_against_all_pairs(wide):
+    r = np.random.default_rng(wide)
+    a, b = (r.integers(1, 1 << 63, (n, wide)).astype(np.uint64) & r.integers(1, 1 << 63, (n, wide)).astype(np.uint64) | np.uint64(1) for n in (300, 500))
+    b[400:] = b[:100]
+    both, ones, n = np.bitwise_count(a[:, None] & b[None]).sum(2, dtype=int), np.bitwise_count(a).sum(1, dtype=int), np.bitwise_count(b).sum(1, dtype=int)
+    iou = both / (ones[:, None] + n - both)
+    got = {}
+    for i, j, shared, united in twins.nearest(a, b, 0.4):
+        assert shared == both[i, j] and shared / united == iou[i].max()
+        got[i] = min(j, got.get(i, j))
+    assert got == {i: iou[i].argmax() for i in range(300) if iou[i].max() >= 0.4} and got
+
+
+def test_twins_many_pictures_with_copies(spark):
+    # copies are compared once, pairs aren't rows of a join: 20,000 pictures and 20,000 test pictures are 4 * 10^8 pairs
+    r = np.random.default_rng(4)
+    base = r.integers(1, 1 << 62, 20_000).tolist()
+    items = spark.createDataFrame([(i, [base[i % 10_000]]) for i in range(20_000)], "id long, bits array<long>")
+    tests = spark.createDataFrame([(-1 - k, 20_000 - k, [x]) for k, x in enumerate(base)] + [(7, 30_000, [base[0]])], "id long, place long, bits array<long>")
+    made = twins.twins(items, tests)
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    assert {x["id"]: x["twin"] for x in got} == {i: -1 - i % 10_000 for i in range(20_000)} and all(x["iou"] == 1 for x in got)
+
+
 def test_glyph_index_over_many_fonts(spark):
     r = random.Random(3)
     fonts = {f"f{i:03d}": set(r.sample("abcdefgh", r.randrange(0, 8))) for i in range(150)}
