@@ -18,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import stored
-from .aggregate import PRIME, hashes
+from ..session import dealt, stored
+from .aggregate import PRIME
 
 Rule = tuple[str, int, Sequence[str]]
 #: Most alternatives of a grammar (they are broadcast), and most words of a pool (its alias table is built in one task).
@@ -117,57 +118,82 @@ def alternatives(rules: Sequence[Rule]) -> list[tuple]:
     return out
 
 
-def _weighted(h: Column, at: int, weights: Sequence[int]) -> Column:
-    """Index drawn by two hashes from an alias table written into the plan."""
+def _drawn(df: DataFrame, first: int, last: int, where: Column | None = None) -> DataFrame:
+    """df with columns h<first> .. h<last>, those of hashes(code, last), for rows with `where` (others: null). A step is a
+    projection of its own: each value is computed once, and by compiled code, as no array is walked through."""
+    names = [f"h{k}" for k in range(first, last + 1)]
+    start = F.pmod(F.col("code"), F.lit(PRIME)) + 1
+    df = df.withColumn("start", start if where is None else F.when(where, start))
+    df = df.withColumns({h: (F.col("start") * 48271 + (int(h[1:]) - 1) * 69621 + F.shiftright("start", 12)) % PRIME for h in names}).drop("start")
+    for _ in range(3):
+        df = df.withColumns({h: (F.col(h) * 16807 + F.shiftright(h, 16)) % PRIME for h in names})
+    return df
+
+
+def _weighted(at: int, weights: Sequence[int]) -> Column:
+    """Index drawn by the columns h<at> and h<at + 1> from an alias table written into the plan."""
     table, total = alias(weights), sum(weights)
-    slot = F.element_at(h, at) % len(weights)
+    slot = F.col(f"h{at}") % len(weights)
     below, other = (F.element_at(F.array(*[F.lit(t[k]) for t in table]), (slot + 1).cast("int")) for k in (0, 1))
-    return F.when(F.element_at(h, at + 1) % total < below, slot).otherwise(other)
+    return F.when(F.col(f"h{at + 1}") % total < below, slot).otherwise(other)
+
+
+def syllable(at: int) -> Column:
+    """A syllable from the columns h<at> .. h<at + 5>."""
+    return T.syllable(*(_weighted(at + 2 * k, w) for k, w in enumerate((HEAD, MID, TAIL))))
 
 
-def syllable(h: Column, at: int) -> Column:
-    """A syllable from the hashes at .. at + 5."""
-    return T.syllable(*(_weighted(h, at + 2 * k, w) for k, w in enumerate((HEAD, MID, TAIL))))
+def _numbered(rules: Sequence[Rule], start: str) -> tuple[pa.Table, tuple[int, int]]:
+    """Alternatives by number, and the start's first number and how many it has. An item holds those of its symbol, so a
+    draw finds its alternative by one number; terminals have none."""
+    rows = alternatives(rules)
+    begin: dict[str, int] = {}
+    for i, r in enumerate(rows):
+        begin.setdefault(r[0], i)
+    held = lambda items: [{"at": begin[n] if k == "" else None, "n": rows[begin[n]][2] if k == "" else None, "kind": k, "name": n, "a": a, "b": b, "c": c} for k, n, a, b, c in items]
+    item = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("c", pa.int32())]))
+    cols = {"number": pa.array(range(len(rows)), pa.int64()), "total": pa.array([r[3] for r in rows], pa.int64()), "below": pa.array([r[4] for r in rows], pa.int64()), "items": pa.array([held(r[5]) for r in rows], item), "others": pa.array([held(r[6]) for r in rows], item)}
+    return pa.table(cols), (begin[start], rows[begin[start]][2])
 
 
 def expand(rows: DataFrame, rules: Sequence[Rule], words: DataFrame, start: str, key: str = "pos") -> DataFrame:
     """rows(key integer) -> key, shape (the start's first item, or its kind), text: a line for each key."""
-    item = "struct<kind:string,name:string,a:int,b:int,c:int>"
     spark = rows.sparkSession
-    table = spark.createDataFrame(alternatives(rules), f"symbol string, slot long, n long, total long, below long, items array<{item}>, others array<{item}>")
-    slots = F.broadcast(table.groupBy("symbol").agg(F.first("n").alias("n"), F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("slot", "below", "items", "others"))).alias("slots")))
-    first = F.struct(F.lit("").alias("kind"), F.lit(start).alias("name"), *[F.lit(0).alias(c) for c in "abc"])
+    numbered, (at, n) = _numbered(rules, start)
+    table = F.broadcast(spark.createDataFrame(numbered))
+    first = F.struct(F.lit(at).cast("long").alias("at"), F.lit(n).cast("long").alias("n"), F.lit("").alias("kind"), F.lit(start).alias("name"), *[F.lit(0).alias(c) for c in "abc"])
     code = F.pmod(F.col(key).cast("long"), F.lit(PRIME))
-    now = rows.select(key, first.alias("item"), code.alias("code"), F.lit("").alias("path"), F.lit("").alias("shape"))
+    # keys are a few bytes a row, lines cost much: a file of keys is not one task's
+    now = dealt(rows.select(key), key).select(key, first.alias("item"), code.alias("code"), F.lit("").alias("path"), F.lit("").alias("shape"))
     for level in range(depth(rules, start)):
-        drawn = now.join(slots, (F.col("item.kind") == "") & (F.col("item.name") == F.col("symbol")), "left")
-        # hashes behind a generator: computed once
-        drawn = drawn.withColumn("h", F.explode(F.array(hashes(F.col("code"), 2))))
-        chosen = F.element_at("slots", (F.element_at("h", 1) % F.col("n") + 1).cast("int"))
-        drawn = drawn.withColumn("s", F.explode(F.array(chosen)))
-        items = F.when(F.col("symbol").isNull(), F.array("item")).when(F.element_at("h", 2) % F.col("total") < F.col("s.below"), F.col("s.items")).otherwise(F.col("s.others"))
-        parts = drawn.select(key, "code", "path", "shape", F.col("symbol").isNull().alias("plain"), F.posexplode(items).alias("i", "item"))
+        drawn = _drawn(now, 1, 2).join(table, F.col("item.at") + F.col("h1") % F.col("item.n") == F.col("number"), "left")
+        items = F.when(F.col("number").isNull(), F.array("item")).when(F.col("h2") % F.col("total") < F.col("below"), F.col("items")).otherwise(F.col("others"))
+        parts = drawn.select(key, "code", "path", "shape", F.col("number").isNull().alias("plain"), F.posexplode(items).alias("i", "item"))
         below = F.when(F.col("plain"), F.col("code")).otherwise((F.col("code") * 48271 + (F.col("i") + 1) * 69621 + F.shiftright("code", 12)) % PRIME)
         shape = F.when(F.lit(level == 0), F.coalesce(F.nullif(F.col("item.name"), F.lit("")), F.col("item.kind"))).otherwise(F.col("shape"))
         now = parts.select(key, "item", below.alias("code"), F.concat("path", F.lpad(F.col("i").cast("string"), 2, "0")).alias("path"), shape.alias("shape"))
     # the plan of the levels ends here
-    now = stored(now, "parts")
-    now = now.select(key, "path", "shape", "item.*", F.explode(F.array(hashes(F.col("code"), DRAWS))).alias("h"))
+    now = stored(now.select(key, "path", "shape", "code", *[F.col(f"item.{c}").alias(c) for c in ("kind", "name", "a", "b", "c")]), "parts")
+    now = _drawn(now, 1, 4)
     # read twice, and by each terminal
     pools = stored(alias_words(words), "pools")
     sizes = F.broadcast(pools.groupBy("pool").agg(F.first("n").alias("n"), F.first("total").alias("total")))
     worded = now.join(sizes, F.col("kind").isin("@", "?") & (F.col("name") == F.col("pool")), "left").drop("pool")
-    slot = (F.element_at("h", 1) % F.col("n")).alias("slot")
-    worded = worded.withColumn("at", slot).join(pools.select("pool", "slot", F.col("word"), "below", "other"), (F.col("name") == F.col("pool")) & (F.col("at") == F.col("slot")), "left")
-    word = F.when(F.element_at("h", 2) % F.col("total") < F.col("below"), F.col("word")).otherwise(F.col("other"))
+    worded = worded.withColumn("at", F.col("h1") % F.col("n")).join(pools.select("pool", "slot", F.col("word"), "below", "other"), (F.col("name") == F.col("pool")) & (F.col("at") == F.col("slot")), "left")
+    word = F.when(F.col("h2") % F.col("total") < F.col("below"), F.col("word")).otherwise(F.col("other"))
     word = F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no words in pool "), "name"))).otherwise(word)
-    made = F.concat(syllable(F.col("h"), 5), syllable(F.col("h"), 11), F.when(F.element_at("h", 4) % 2 == 1, syllable(F.col("h"), 17)).otherwise(F.lit("")))
+    kind, replaced = F.col("kind"), (F.col("kind") == "?") & (F.col("h3") % 1000 < REPLACED)
+    worded = worded.select(key, "shape", "path", "code", "kind", "name", "a", "b", "c", "h1", "h2", "h3", "h4", F.when(kind.isin("@", "?"), word).alias("word"))
+    worded = _drawn(worded, 5, DRAWS - 2, (kind == "^") | replaced)
+    # a projection each, so that each is a method of its own
+    for name, of, when in (("own", 1, kind == "^"), ("m1", 5, replaced), ("m2", 11, replaced), ("m3", 17, replaced & (F.col("h4") % 2 == 1))):
+        worded = worded.withColumn(name, F.when(when, syllable(of)))
     # a right of 0 letters is empty
-    slotted = F.when(F.element_at("h", 3) % 1000 < REPLACED, F.concat(made, F.right(word, F.col("a")))).otherwise(word)
-    slotted = F.left(slotted, F.length(slotted) - F.col("b"))
-    number = (F.col("a") + F.element_at("h", 1) % (F.col("b") - F.col("a") + 1)).cast("string")
-    jamo = T.char((F.lit(0x3131) + F.element_at("h", 1) % 51).cast("int"))
-    text = F.when(F.col("kind") == "=", F.col("name")).when(F.col("kind") == "@", word).when(F.col("kind") == "#", F.lpad(number, F.greatest(F.col("c"), F.length(number)), "0")).when(F.col("kind") == "^", syllable(F.col("h"), 1)).when(F.col("kind") == "&", jamo).otherwise(slotted)
+    slotted = F.when(replaced, F.concat("m1", "m2", F.coalesce("m3", F.lit("")), F.right("word", F.col("a")))).otherwise(F.col("word"))
+    worded = worded.withColumn("slotted", F.when(kind == "?", slotted))
+    number = (F.col("a") + F.col("h1") % (F.col("b") - F.col("a") + 1)).cast("string")
+    jamo = T.char((F.lit(0x3131) + F.col("h1") % 51).cast("int"))
+    text = F.when(kind == "=", F.col("name")).when(kind == "@", F.col("word")).when(kind == "#", F.lpad(number, F.greatest(F.col("c"), F.length(number)), "0")).when(kind == "^", F.col("own")).when(kind == "&", jamo).otherwise(F.left("slotted", F.length("slotted") - F.col("b")))
     parts = worded.select(key, "shape", "path", text.alias("text"))
     # parts of one line
     whole = parts.groupBy(key).agg(F.max("shape").alias("shape"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda p: p["text"]), "").alias("text"))

@@ -22,10 +22,12 @@ POOLS = {
 
 
 def _pools(spark, d):
+    """A column is read once, whichever pools take its words."""
     out = None
-    for pool, (name, column) in POOLS.items():
+    for name, column in dict.fromkeys(POOLS.values()):
         words = table(spark, d, name).select(F.explode(F.split(column, " ")).alias("word")).where("word <> ''").distinct()
-        rows = words.select(F.lit(pool).alias("pool"), "word", F.lit(1).cast("long").alias("weight"))
+        pools = [F.lit(p) for p, of in POOLS.items() if of == (name, column)]
+        rows = words.select(F.explode(F.array(*pools)).alias("pool"), "word", F.lit(1).cast("long").alias("weight"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

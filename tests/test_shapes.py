@@ -145,6 +145,19 @@ def test_grammar_follows_its_shares(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
 
 
+def test_lines_of_one_file_are_made_by_many_tasks(spark, monkeypatch):
+    made = {}
+    kept = grammar.stored
+    monkeypatch.setattr(grammar, "stored", lambda df, name: made.setdefault(name, df) and kept(df, name))
+    words = spark.createDataFrame([("p", "w", 1)], "pool string, word string, weight long")
+    rows = spark.range(500).coalesce(1).withColumnRenamed("id", "pos")
+    got = grammar.expand(rows, [("s", 1, ["@p", "^"])], words, "s")
+    assert made["parts"].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # draws are compiled columns, no arrays that are walked through
+    assert "transform(" not in made["parts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert all(x["text"][0] == "w" and len(x["text"]) == 2 for x in got.collect()) and got.count() == 500
+
+
 def test_slots_keep_their_ending_and_marks_go_between_words(spark):
     words = spark.createDataFrame([("verb", "읽는다", 1)], "pool string, word string, weight long")
     rows = spark.range(2000).withColumnRenamed("id", "pos")
