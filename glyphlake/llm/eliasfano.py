@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 
@@ -11,26 +12,29 @@ U64 = np.uint64
 NARROW = 4
 
 
-def selected(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the rank-th (from 0) set bit of 64-bit words, by halving."""
-    word, rank, place = word.copy(), rank.astype(np.int64), np.zeros(len(word), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count(word & U64((1 << width) - 1))
-        beyond = rank >= count
-        rank -= count * beyond
-        step = beyond * width
-        place += step
-        word >>= step.astype(U64)
-    return place
+def _short(x: np.ndarray) -> np.ndarray:
+    """In 32 bits if they hold it."""
+    return x.astype(np.uint32) if not len(x) or int(x[-1]) < 1 << 32 else x
 
 
 class EliasFano:
-    """A monotone sequence of unsigned integers: low bits packed, high bits in unary. Made by `of`, read from a buffer."""
+    """A monotone sequence of unsigned integers: low bits packed, high bits in unary. Made by `of`, read from a buffer. What
+    selects the unary part's zeros and ones is made when it is first searched, by one pass over it, and isn't stored."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        self.ones, self.zeros = ones, np.arange(1, len(high) + 1, dtype=np.int64) * 64 - ones
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """How many elements have a high part below each value: the ones before each zero of the unary part."""
+        zeros = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little") == 0)
+        return _short(np.concatenate(([0], zeros - np.arange(len(zeros)))))
+
+    @cached_property
+    def highs(self) -> np.ndarray:
+        """The high part of each element: the zeros before each one of the unary part."""
+        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+        return _short(ones - np.arange(len(ones)))
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -71,12 +75,6 @@ class EliasFano:
         high = np.where(off > 0, self.low[word + 1] << ((U64(64) - off) & U64(63)), U64(0))
         return ((self.low[word] >> off) | high) & U64((1 << self.low_bits) - 1)
 
-    def before_zero(self, k: np.ndarray) -> np.ndarray:
-        """How many elements stand before the k-th (from 0) zero of the high bits: those whose high part is at most k."""
-        word = np.searchsorted(self.zeros, k, side="right")
-        rest = k - np.where(word > 0, self.zeros[np.maximum(word - 1, 0)], 0)
-        return word * 64 + selected(~self.high[word], rest) - k
-
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Index of each x, -1 where it isn't there: a successor search among the elements with the same high part, and
         of those among the elements [begin, end)."""
@@ -84,12 +82,9 @@ class EliasFano:
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
-        high = (x >> U64(self.low_bits)).astype(np.int64)
-        top = int(self.zeros[-1]) - 1
-        fits = np.flatnonzero((x >> U64(self.low_bits)) <= U64(top))
-        h, low = high[fits], x[fits] & U64((1 << self.low_bits) - 1)
-        lo = np.where(h > 0, self.before_zero(np.maximum(h - 1, 0)), 0)
-        stop = self.before_zero(h)
+        fits = np.flatnonzero((x >> U64(self.low_bits)) < U64(len(self.starts) - 1))
+        h, low = (x[fits] >> U64(self.low_bits)).astype(np.int64), x[fits] & U64((1 << self.low_bits) - 1)
+        lo, stop = self.starts[h].astype(np.int64), self.starts[h + 1].astype(np.int64)
         if begin is not None:
             lo, stop = np.maximum(lo, begin[fits]), np.minimum(stop, end[fits])
         hi = stop.copy()
@@ -109,10 +104,7 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """Elements at indexes i, by the unary part's i-th one."""
         i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.ones, i, side="right")
-        rest = i - np.where(word > 0, self.ones[np.maximum(word - 1, 0)], 0)
-        place = word * 64 + selected(self.high[word], rest)
-        return ((place - i).astype(U64) << U64(self.low_bits)) | self.lows(i)
+        return (self.highs[i].astype(U64) << U64(self.low_bits)) | self.lows(i)
 
 
 def quantised(values: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.ndarray]:
@@ -199,9 +191,9 @@ class Trie:
         counts, mass_book, book, mass, codes = plain
         return cls(levels[0], counts, mass, levels[1], levels[2], levels[3], codes, mass_book, book)
 
-    def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words, and codes of the mass they leave as contexts (0: never a context)."""
-        at = self.words.find(words)
+    def look(self, words: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words, and codes of the mass they leave as contexts (0: never a context). `at`: their places, if found."""
+        at = self.words.find(words) if at is None else at
         there = at >= 0
         count, mass = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint8)
         count[there], mass[there] = self.counts[at[there]], self.mass[at[there]]
@@ -211,10 +203,10 @@ class Trie:
         """Codes of the discounted probabilities of words after contexts (hashes); 0: not seen."""
         return self.fan(context, np.ones(len(context), np.int64), word, np.arange(len(word)))
 
-    def fan(self, contexts: np.ndarray, children: np.ndarray, words: np.ndarray, which: np.ndarray) -> np.ndarray:
+    def fan(self, contexts: np.ndarray, children: np.ndarray, words: np.ndarray, which: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """As follow, for contexts that ask for `children` words each: words[which], one context after the other. What a
-        context needs is looked up once."""
-        c, w = self.words.find(contexts), self.successors.find(words)
+        context needs is looked up once. `at`: the contexts' places, if found."""
+        c, w = self.words.find(contexts) if at is None else at, self.successors.find(words)
         there = np.flatnonzero(c >= 0)
         begin, end, base = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), U64)
         end[there] = self.pointers.get(c[there]).astype(np.int64)

@@ -195,7 +195,8 @@ def build(asked: list[tuple], discount: float) -> Trie:
     context = np.concatenate([np.repeat(np.searchsorted(words, a[0]), a[2])[t] for a, t in zip(asked, trained, strict=True)])
     word = np.concatenate([a[3][a[4][t]] for a, t in zip(asked, trained, strict=True)])
     number = np.concatenate([a[5][t] for a, t in zip(asked, trained, strict=True)]).astype(np.int64)
-    order = np.lexsort((word, context))
+    # as one number where it fits, which sorts faster
+    order = np.argsort(context.astype(np.uint64) << np.uint64(WORD_BITS) | word) if len(words) < 1 << (64 - WORD_BITS) else np.lexsort((word, context))
     context, word, number = context[order], word[order], number[order]
     fresh = np.ones(len(word), bool)
     fresh[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
@@ -224,8 +225,9 @@ def answers(asked: DataFrame, shards: int, discount: float = DISCOUNT, keep: boo
         trie = Trie.read(mapped(stored))
         rows = []
         for number, mark, (contexts, _, children, after, which, _) in zip(t.column("block").to_pylist(), t.column("mark").to_pylist(), got, strict=True):
-            count, mass = trie.look(contexts)
-            rows.append((number, mark, _pack(_narrow(count if words else count[:0]), *_used(mass, trie.mass_book), *_used(trie.fan(contexts, children, after, which), trie.book)), 0, 0))
+            at = trie.words.find(contexts)
+            count, mass = trie.look(contexts, at)
+            rows.append((number, mark, _pack(_narrow(count if words else count[:0]), *_used(mass, trie.mass_book), *_used(trie.fan(contexts, children, after, which, at), trie.book)), 0, 0))
         counts = np.asarray(made.counts, np.int64)
         rows.append((-1, 0, stored if keep else None, int(counts.sum()), int((counts > 0).sum())))
         cols = list(zip(*rows, strict=True))

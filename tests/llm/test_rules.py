@@ -350,3 +350,28 @@ def test_surroundings_that_match_are_never_ruled_out():
             assert passages.may_pass(row(a), row(b), size, 0.8).all()
     far = np.array([[r.randrange(1, 256) for _ in range(2 * side)] for _ in range(40)], np.uint8)
     assert passages.may_pass(far, far, size, 0.8).diagonal().all() and passages.may_pass(far, far, size, 0.8).sum() < 60
+
+
+def test_elias_fano_selects_by_one_pass():
+    r = np.random.default_rng(7)
+    for values in (r.integers(0, 1 << 40, 3000), r.integers(0, 50, 900), np.zeros(5, int), np.array([2**63 + 5]), np.arange(700)):
+        values = np.sort(values.astype(np.uint64))
+        e, _ = eliasfano.EliasFano.read(eliasfano.EliasFano.of(values).to_bytes())
+        high = (values >> np.uint64(e.low_bits)).astype(np.int64)
+        assert e.highs.tolist() == high.tolist()
+        assert e.starts[: high[-1] + 2].tolist() == np.searchsorted(high, np.arange(high[-1] + 2)).tolist()
+        assert np.array_equal(e.get(np.arange(len(values))), values) and np.array_equal(values[e.find(values)], values)
+        assert (e.find(np.array([int(values[-1]) + 1, 2**64 - 1], np.uint64)) == -1).all()
+
+
+def test_contexts_that_were_found_are_not_searched_again(monkeypatch):
+    words = np.array([3, 9, 20], np.uint64)
+    t = eliasfano.Trie.build(words, np.array([4, 2, 1]), np.array([0, 0, 2]), np.array([9, 20, 3], np.uint64), np.array([3, 1, 1]), 0.75)
+    t = eliasfano.Trie.read(t.to_bytes())
+    contexts, after = np.array([3, 4, 20], np.uint64), np.array([3, 9, 20], np.uint64)
+    at = t.words.find(contexts)
+    children, which = np.array([2, 1, 1]), np.array([1, 2, 1, 0])
+    look, fan = t.look(contexts), t.fan(contexts, children, after, which)
+    monkeypatch.setattr(t, "words", None)
+    assert all(np.array_equal(a, b) for a, b in zip(look, t.look(contexts, at), strict=True))
+    assert np.array_equal(fan, t.fan(contexts, children, after, which, at)) and (fan > 0).tolist() == [True, True, False, True]
