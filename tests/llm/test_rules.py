@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.llm import decontaminate, eliasfano, mixing, neighbours, passages, quality, queries, sharding, simhash, warc
+from glyphlake.llm import common, decontaminate, eliasfano, mixing, neighbours, passages, quality, queries, sharding, simhash, warc
 from tests.helpers import SF, by_sql
 
 from .test_llm import DOCS, awkward
@@ -375,3 +375,43 @@ def test_contexts_that_were_found_are_not_searched_again(monkeypatch):
     monkeypatch.setattr(t, "words", None)
     assert all(np.array_equal(a, b) for a, b in zip(look, t.look(contexts, at), strict=True))
     assert np.array_equal(fan, t.fan(contexts, children, after, which, at)) and (fan > 0).tolist() == [True, True, False, True]
+
+
+def test_pairs_of_surroundings_are_ruled_out_by_two_word_runs():
+    r, size, side = random.Random(7), 50, 50 - passages.K
+    one = [r.randrange(1, 256) for _ in range(2 * side)]
+    # ten words added on one side and ten on the other, all apart: the most breaks that 40 matched words of 50 may have
+    left, right = [v for k, v in enumerate(one[:32]) for v in ([v, 0] if k % 4 == 0 else [v])], [v for k, v in enumerate(one[:32]) for v in ([v, 0] if k % 4 == 2 else [v])]
+    fill = lambda p: [v or r.randrange(1, 256) for v in (p + [0] * 2 * side)[: 2 * side]]
+    a, b = (np.array([fill(p[:side])], np.uint8) for p in (left, right))
+    assert [len(v) for v in passages.near(passages.sketch(a, side), passages.sketch(b, side), size, 0.8)] == [1, 1]
+    far = np.array([[r.randrange(1, 256) for _ in range(2 * side)] for _ in range(60)], np.uint8)
+    drawn = passages.sketch(far, side)
+    p, q = passages.near(drawn, drawn, size, 0.8)
+    assert set(zip(range(60), range(60), strict=True)) <= set(zip(p.tolist(), q.tolist(), strict=True)) and len(p) < 200
+
+
+def test_occurrences_travel_packed_and_shuffle_files_go(spark, tmp_path):
+    r = random.Random(2)
+    data = [(i, " ".join(words(r, 300))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    parts = passages.PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # some 4,000 seeds and 15,000 runs
+    assert 0 < passages.found(docs).count() <= 2 * parts * docs.rdd.getNumPartitions()
+    before = spark.conf.get(common.CLEANUP)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    held = tracker.shuffleStatuses().size()
+    got = common.kept(docs.repartition(4, "doc_id").groupBy("text").count(), "grouped")
+    assert got.count() == 60 and spark.conf.get(common.CLEANUP) == before
+    assert tracker.shuffleStatuses().size() <= held + 1
+
+
+def test_alignment_is_the_same_whatever_was_extended_before():
+    r = random.Random(11)
+    for _ in range(100):
+        base = [r.randrange(200) for _ in range(150)]
+        a, b = np.array([v if r.random() < 0.9 else r.randrange(200) for v in base]), np.array([v for v in base if r.random() < 0.95])
+        known = {}
+        for x, y in ((5, 5), (60, 57), (100, 95)):
+            alone = passages.aligned(np.array([(x, y, 4)]), a, b, 0, 0)
+            assert passages.aligned(np.array([(x, y, 4)]), a, b, 0, 0, known).tolist() == alone.tolist()
