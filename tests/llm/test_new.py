@@ -180,6 +180,31 @@ def test_crowded_nodes_are_dealt_on(monkeypatch, large):
     assert (sent >= 600) == (large == 100)
 
 
+def test_a_node_crowded_at_every_level_is_compared_whole(spark, monkeypatch):
+    """Rows that agree wherever their node branches never part: each is compared with those of other blocks, heads or not."""
+    monkeypatch.setattr(chosen, "LARGE", 50)
+    taken, waiting = set(), [77]
+    for _ in range(7):
+        taken.update(p for node in waiting for p in chosen.positions(node))
+        waiting = [chosen.mixed(node, p, 0) for node in waiting for p in chosen.positions(node)]
+    equal = (sorted(taken) + [p for p in range(chosen.POSITIONS) if p not in taken])[: chosen.FEWEST - 10]
+    assert taken <= set(equal)
+    r = np.random.default_rng(4)
+    sketch = r.integers(0, 256, (300, chosen.POSITIONS), dtype=np.uint8)
+    sketch[150:270] = sketch[:120]  # rows 0 to 119 have a twin, 270 to 299 none, 120 to 149 are of one large group with 400 more
+    sketch = np.concatenate((sketch, np.repeat(sketch[120:121], 400, axis=0)))
+    sketch[120:150] = sketch[120]
+    sketch[:, equal] = 0
+    keys = [bytes([1 + k * 37 % 250, 1 + k // 250, *[7] * 14]) for k in range(len(sketch))]
+    nodes = spark.createDataFrame([(k, s.tobytes(), [77]) for k, s in zip(keys, sketch, strict=True)], "digest binary, sketch binary, paths array<long>")
+    root = {x["node"]: x["root"] for x in chosen.candidates(nodes).collect()}
+    name = [k.hex() for k in keys]
+    group = [root.get(x, x) for x in name]
+    assert group[:120] == group[150:270] and len(set(group[:120])) == 120
+    assert set(group[120:150] + group[300:]) == {min(name[120:150] + name[300:])}
+    assert group[270:300] == name[270:300] and len(set(group)) == 151
+
+
 def test_trees_reach_the_recall():
     assert chosen.trees(0.999) < chosen.trees(0.9999)
     r = np.random.default_rng(2)
