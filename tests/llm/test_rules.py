@@ -377,6 +377,29 @@ def test_contexts_that_were_found_are_not_searched_again(monkeypatch):
     assert np.array_equal(fan, t.fan(contexts, children, after, which, at)) and (fan > 0).tolist() == [True, True, False, True]
 
 
+def test_a_shared_line_is_compared_once_and_not_at_each_of_its_seeds(spark):
+    """Matches of a line of many seeds come from its first seed and reach to its last; a passage around it is still found."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    line = [word() for _ in range(30)]
+    near_by = [word() for _ in range(30)]
+    texts = [[word() for _ in range(60)] + line + [word() for _ in range(60)] for _ in range(40)]
+    for k in (31, 37):
+        texts[k][30:60] = near_by
+    texts[37][33] = texts[37][47] = "other"
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    word, first = passages._coded(pa.array([" ".join(t) for t in texts]))
+    doc, x, key = passages.seeds_of(word, first)
+    inside = (x >= 60) & (x + passages.K <= 90)
+    seeds = len(np.unique(key[inside]))
+    places = spark.createDataFrame([(int(k), int(d), int(p)) for k, d, p in zip(key[inside], doc[inside], x[inside], strict=True)], "key long, doc long, x int")
+    got = {tuple(v) for v in passages.crowded(docs, places).collect()}
+    both = sorted(set(x[inside & (doc == 31)].tolist()) & set(x[inside & (doc == 37)].tolist()))
+    assert seeds > 3 and len(both) > 3 and got == {(37, 31, both[0], both[0], both[-1] - both[0] + passages.K)}
+    found = [v for v in passages.repeated(docs).collect() if (v["doc_id"], v["other_id"]) == (37, 31)]
+    assert [v["n_words"] for v in found] == [60]
+
+
 def test_pairs_of_surroundings_are_ruled_out_by_two_word_runs():
     r, size, side = random.Random(7), 50, 50 - passages.K
     one = [r.randrange(1, 256) for _ in range(2 * side)]
